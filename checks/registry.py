@@ -12,7 +12,7 @@ from .sql_views import FRAGMENTS
 from .views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_STATEMENTS: dict[str, str] = {}
 
 
 def _parse(spec: str) -> list[tuple[str, str]]:
@@ -66,7 +66,12 @@ def query(name: str, spec: str, sql: str | None = None):
         QUERIES[name] = run
         if sql is not None:
             cols = ", ".join(_sql_column(n, k) for n, k in _parse(spec))
-            ORACLES[name] = with_fragments(f"select {cols} from ({sql.strip()}) as result")
+            _STATEMENTS[name] = f"select {cols} from ({sql.strip()}) as result"
         return fn
 
     return wrap
+
+
+def oracles() -> dict[str, str]:
+    """SQL twins, complete with the shared views they use."""
+    return {name: with_fragments(sql) for name, sql in _STATEMENTS.items()}

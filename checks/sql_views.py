@@ -34,7 +34,7 @@ from (select l_orderkey % 100 as sample_id, l_partkey as k,
       from (select *, translate(md5(cast(l_partkey as varchar)), '0123456789abcdef', 'ACGTACGTACGUacgt') as h from lineitem) x) y
 """
 FRAGMENTS["nt_tokens"] = r"""
-select sample_id, list_filter(regexp_split_to_array(trim(value), '[\s,]+'), x -> x <> '') as tokens
+select sample_id, list_filter(regexp_split_to_array(trim(value), '[\s,]+'), lambda x: x <> '') as tokens
 from nt_lines where trim(value) <> '' and not starts_with(trim(value), '#')
 """
 FRAGMENTS["nt_typed"] = r"""
@@ -44,7 +44,7 @@ select sample_id, len(tokens) as width, translate(upper(trim(tokens[1])), 'U', '
   case when regexp_full_match(tokens[4], '[0-9.]+') then cast(tokens[4] as double) end as input_cell_frequency
 from nt_tokens
 """
-_AA = """array_to_string(list_transform(range(1, cast(len(cdr3_nt) / 3 as bigint) + 1), i -> m[substr(cdr3_nt, 3 * i - 2, 3)]), '')"""
+_AA = """array_to_string(list_transform(range(1, cast(len(cdr3_nt) / 3 as bigint) + 1), lambda i: m[substr(cdr3_nt, 3 * i - 2, 3)]), '')"""
 _REASON = """case when {pre} when cdr3_nt is null or cdr3_nt = '' then 'empty_sequence'
  when len(cdr3_nt) % 3 <> 0 then 'length_not_multiple_of_3'
  when not regexp_full_match(cdr3_nt, '[ACGT]+') then 'non_acgt_base'
@@ -113,3 +113,41 @@ select *, aa_clone_number > 0 and total_reads_valid_nt > 0 and frequency_source
 _clone_fragments("", "sample_id", "nt_parsed")
 _clone_fragments("_lines", "sample_id", "line_parsed")
 _clone_fragments("2", "receptor, sample_id", "nt_parsed")
+
+FRAGMENTS["seqs"] = """
+select sample_id, cdr3_aa, sum(n_chars) as read_count, count(*) as nt_clone_number
+from (select sample_id, n_chars, substr(letters, i * k + 1, k) as cdr3_aa
+      from (select source as sample_id, n_chars, 8 + doc_id % 20 as k, letters, unnest(range(0, (len(letters) - 1) // (8 + doc_id % 20) + 1)) as i
+            from (select *, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') as letters from documents) d where letters <> '') x) y
+group by 1, 2
+"""
+FRAGMENTS["clones"] = """
+select s.sample_id, cdr3_aa, len(cdr3_aa) as aa_length, nt_clone_number, read_count, read_count / t.t as read_fraction, read_count / t.t as frequency_norm
+from seqs s join (select sample_id, sum(read_count) as t from seqs group by 1) t on s.sample_id = t.sample_id
+"""
+
+
+def _n(letters: str) -> str:
+    return "(" + " + ".join(f"(len(cdr3_aa) - len(replace(cdr3_aa, '{r}', '')))" for r in letters) + ")"
+
+
+FRAGMENTS["seq_scores"] = (
+    "select *, "
+    + "(" + " + ".join(f"{v} * {_n(r)}" for r, v in HYDROPHOBICITY.items()) + ") / len(cdr3_aa) as hydrophobicity, "
+    + f"({_n('KR')} + 0.1 * {_n('H')} - {_n('DE')}) / len(cdr3_aa) as charge, {_n('FWY')} / len(cdr3_aa) as aromaticity, "
+    + ", ".join(f"{_n(letters)} / len(cdr3_aa) as {g}" for g, letters in RESIDUE_GROUPS.items())
+    + " from clones"
+)
+FRAGMENTS["params"] = """
+select *, (list_value(0.1, 0.5, 0.9))[(outer_repeat * 7 + outer_fold * 3 + m + task) % 3 + 1] as l1_ratio_alpha,
+  (list_value(0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0))[(outer_repeat * outer_fold + m) % 8 + 1] as "lambda",
+  ((outer_repeat * 13 + outer_fold * 29 + m + task) % 97) / 97.0 as threshold, 0.5 + ((outer_repeat + outer_fold) % 10) / 25.0 as inner_roc_auc,
+  0.4 + ((outer_repeat * outer_fold) % 10) / 25.0 as inner_pr_auc
+from (select o_orderkey as task, o_orderkey % 20 + 1 as outer_repeat, (o_orderkey // 20) % 5 + 1 as outer_fold, (o_orderkey // 100) % 4 as m,
+        'M' || ((o_orderkey // 100) % 4) as model from orders) t
+"""
+FRAGMENTS["matrix"] = """
+select c_custkey as sample_id, case when c_acctbal > 4500 then 1 else 0 end as y, cast(c_custkey % 60 + 20 as double) as age, cast(c_custkey % 2 as varchar) as sex,
+  c_mktsegment as material, cast(coalesce(n, 0) as double) as x1, coalesce(m, 0.0) as x2, coalesce(x, 0.0) as x3, cast(c_nationkey as double) as x4, 1.0 as x5, c_custkey % 5 + 1 as fold
+from customer left join (select o_custkey, count(*) as n, avg(o_totalprice) as m, max(o_totalprice) as x from orders group by 1) o on c_custkey = o_custkey
+"""

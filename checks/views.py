@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from clonespan.functions.sequences import RESIDUES
 
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
 
 class Views:
     """Lazily built inputs.  Every view is derived from whole tables; none is cached."""
@@ -41,23 +43,21 @@ class Views:
     @cached_property
     def nt_lines(self) -> DataFrame:
         """The same rows as text lines, with defects in the tokens of some of them."""
-        r = self.table("lineitem")
         k, n = F.col("l_partkey"), F.col("l_linenumber")
         hexes = F.translate(F.md5(k.cast("string")), "0123456789abcdef", "ACGTACGTACGUacgt")
-        nt = F.when(k % 11 == 3, F.concat(F.substring(hexes, 1, 8), F.lit("N"))).otherwise(F.substring(hexes, 1, F.when(n == 7, 10).otherwise(9)))
-        reads = F.when(k % 13 == 5, F.lit("-1")).when(k % 13 == 6, F.lit("abc")).when(
-            k % 13 == 7, F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(".0"))
-        ).otherwise(F.col("l_quantity").cast("bigint").cast("string"))
-        freq = F.when(k % 17 == 2, F.lit("nan")).otherwise(F.lit("0.5"))
-        sep = F.when(n % 3 == 0, F.lit(" ")).when(n % 3 == 1, F.lit(", ")).otherwise(F.lit("\t"))
-        full = F.concat(nt, sep, reads, sep, freq, sep, F.lit("0.25"))
-        line = (
-            F.when(k % 19 == 1, F.concat(nt, sep, reads, sep, freq))
-            .when(k % 19 == 2, F.concat(F.lit("# "), full))
-            .when(k % 19 == 3, F.lit("   "))
-            .otherwise(full)
+        quantity = F.col("l_quantity").cast("bigint").cast("string")
+        parts = self.table("lineitem").withColumn("hexes", hexes).select(
+            (F.col("l_orderkey") % 100).alias("sample_id"), (k % 19).alias("kind"),
+            F.when(k % 11 == 3, F.concat(F.substring("hexes", 1, 8), F.lit("N"))).otherwise(
+                F.substring("hexes", F.lit(1), F.when(n == 7, 10).otherwise(9))).alias("nt"),
+            F.when(k % 13 == 5, F.lit("-1")).when(k % 13 == 6, F.lit("abc")).when(k % 13 == 7, F.concat(quantity, F.lit(".0"))).otherwise(quantity).alias("reads"),
+            F.when(k % 17 == 2, F.lit("nan")).otherwise(F.lit("0.5")).alias("freq"),
+            F.when(n % 3 == 0, F.lit(" ")).when(n % 3 == 1, F.lit(", ")).otherwise(F.lit("\t")).alias("sep"),
         )
-        return r.select((F.col("l_orderkey") % 100).alias("sample_id"), line.alias("value"))
+        tail = F.when(F.col("kind") == 1, F.lit("")).otherwise(F.concat(F.col("sep"), F.lit("0.25")))
+        head = F.when(F.col("kind") == 2, F.lit("# ")).otherwise(F.lit(""))
+        line = F.when(F.col("kind") == 3, F.lit("   ")).otherwise(F.concat(head, "nt", "sep", "reads", "sep", "freq", tail))
+        return parts.select("sample_id", line.alias("value"))
 
     # -- sample metadata ---------------------------------------------------------------------------------------
 
@@ -112,7 +112,7 @@ class Views:
         """Amino-acid clones per source: every document's letters cut into consecutive pieces, whole texts used."""
         docs = self.table("documents").select(
             F.col("source").alias("sample_id"), "n_chars", (8 + F.col("doc_id") % 20).cast("int").alias("k"),
-            F.regexp_replace(F.upper("text"), f"[^{RESIDUES}]", "").alias("letters"),
+            F.regexp_replace(F.translate("text", LOWER, LOWER.upper()), f"[^{RESIDUES}]", "").alias("letters"),
         ).filter("letters <> ''")
         starts = F.sequence(F.lit(0), ((F.length("letters") - 1) / F.col("k")).cast("int"))
         pieces = docs.select("sample_id", "n_chars", F.explode(F.transform(starts, lambda i: F.col("letters").substr(i * F.col("k") + 1, F.col("k")))).alias("cdr3_aa"))

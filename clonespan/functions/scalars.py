@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 MISSING = "__MISSING__"
 JOINT_SEPARATOR = " || "
-NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NONNEGATIVE_NUMBER = r"^\s*(\+?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|-0*\.?0+)\s*$"
 
 
 def col(c: str | Column) -> Column:
@@ -37,15 +37,18 @@ def log_ratio(a: str | Column, b: str | Column, eps: float = 1e-8) -> Column:
 
 def parse_nonnegative_float(token: str | Column) -> Column:
     """Finite, non-negative number, otherwise null."""
-    text = F.trim(col(token))
-    value = F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
-    return F.when((value >= 0) & (value < F.lit(float("inf"))), value)
+    value = F.nullif(F.trim(col(token)).try_cast("double"), F.lit(float("inf")))
+    return F.when(col(token).rlike(NONNEGATIVE_NUMBER), value)
+
+
+def integral(value: str | Column) -> Column:
+    """A whole double as an integer, otherwise null."""
+    return F.when(col(value) % 1 == 0, col(value).cast("bigint"))
 
 
 def parse_nonnegative_int(token: str | Column) -> Column:
     """Integral non-negative number ('3.0' counts), otherwise null."""
-    value = parse_nonnegative_float(token)
-    return F.when(value == F.floor(value), value.cast("bigint"))
+    return integral(parse_nonnegative_float(token))
 
 
 def encode_label(c: str | Column, positive: str) -> Column:
@@ -110,16 +113,11 @@ def strip_prefix(df: DataFrame, prefix: str) -> DataFrame:
 
 
 def fixed_precision_text(c: str | Column, digits: int = 12) -> Column:
-    """Short text of a double for CSV export: significant digits, no trailing zeros."""
-    text = F.format_string(f"%.{digits - 1}e", col(c).cast("double"))
-    mantissa = F.regexp_replace(F.substring_index(text, "e", 1), r"\.?0+$", "")
-    exponent = F.substring_index(text, "e", -1).cast("int")
-    plain = col(c).cast("double").cast(f"decimal(38,{digits + 6})").cast("string")
-    trimmed = F.regexp_replace(plain, r"\.?0+$", "")
-    return F.when(col(c) == 0, F.lit("0")).otherwise(
-        F.when((exponent < -4) | (exponent >= digits), F.concat(mantissa, F.lit("e"), F.format_string("%+03d", exponent)))
-        .otherwise(trimmed)
-    )
+    """Text of a double with the given significant digits and no trailing zeros, for CSV export."""
+    text = F.format_string(f"%.{digits}g", col(c).cast("double"))
+    mantissa, exponent = F.substring_index(text, "e", 1), F.substring_index(text, "e", -1)
+    short = F.when(mantissa.contains("."), F.regexp_replace(mantissa, r"\.?0+$", "")).otherwise(mantissa)
+    return F.when(text.contains("e"), F.concat(short, F.lit("e"), exponent)).otherwise(short)
 
 
 THRESHOLD_EDGES = [0.0, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 1.000001]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import count_if, join_reasons, parse_nonnegative_float, parse_nonnegative_int, safe_ratio
+from ..functions.scalars import count_if, integral, join_reasons, parse_nonnegative_float, safe_ratio
 from ..functions.sequences import INVALID_REASONS, normalize_nt, sequence_reason, translate_nt
 
 FREQUENCY_SOURCES = ["input_cell_frequency_sum", "input_frequency_sum", "read_fraction"]
@@ -13,34 +13,29 @@ FREQUENCY_SOURCES = ["input_cell_frequency_sum", "input_frequency_sum", "read_fr
 
 def parse_tokens(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Type the tokens of every line and attach the first failing rule (`reason`, null when valid)."""
-    size = F.size(tokens)
-    t = [F.when(size > i, F.col(tokens)[i]) for i in range(4)]
-    typed = rows.select(
-        *[c for c in rows.columns if c != tokens],
-        (size >= 4).alias("_complete"),
-        *[t[i].alias(n) for i, n in enumerate(["cdr3_nt_raw", "read_count_raw", "input_frequency_raw", "input_cell_frequency_raw"])],
-        normalize_nt(t[0]).alias("cdr3_nt"),
-        parse_nonnegative_int(t[1]).alias("read_count"),
-        parse_nonnegative_float(t[2]).alias("input_frequency"),
-        parse_nonnegative_float(t[3]).alias("input_cell_frequency"),
-    )
-    return classify(typed)
-
-
-def classify(typed: DataFrame) -> DataFrame:
-    """Add `cdr3_aa` and `reason` to typed rows; rows without `_complete` are taken as complete."""
-    complete = F.col("_complete") if "_complete" in typed.columns else F.lit(True)
+    rest = [c for c in rows.columns if c != tokens]
+    raw = ["cdr3_nt_raw", "read_count_raw", "input_frequency_raw", "input_cell_frequency_raw"]
+    split = rows.select(*rest, *[F.get(tokens, F.lit(i)).alias(n) for i, n in enumerate(raw)])
+    typed = split.select(
+        *rest, *raw, normalize_nt(raw[0]).alias("cdr3_nt"), parse_nonnegative_float(raw[1]).alias("_reads"),
+        parse_nonnegative_float(raw[2]).alias("input_frequency"), parse_nonnegative_float(raw[3]).alias("input_cell_frequency"),
+    ).withColumn("read_count", integral("_reads")).drop("_reads")
+    return classify(typed, complete=F.col(raw[3]).isNotNull())
+
+
+def classify(typed: DataFrame, complete: Column | None = None) -> DataFrame:
+    """Add `cdr3_aa` and `reason` to typed rows; `complete` tells whether a row had all four tokens."""
     nt = F.col("cdr3_nt")
     clean = (F.length(nt) % 3 == 0) & nt.rlike("^[ACGT]+$")
     with_aa = typed.withColumn("_aa", F.when(clean, translate_nt("cdr3_nt")))
     reason = (
-        F.when(~complete, F.lit("malformed_columns"))
+        F.when(~(F.lit(True) if complete is None else complete), F.lit("malformed_columns"))
         .when(F.col("read_count").isNull(), F.lit("invalid_read_count"))
         .when(F.col("input_frequency").isNull() | F.col("input_cell_frequency").isNull(), F.lit("invalid_frequency"))
         .otherwise(sequence_reason("cdr3_nt", "_aa"))
     )
     out = with_aa.withColumn("reason", reason)
-    return out.withColumn("cdr3_aa", F.when(F.col("reason").isNull(), F.col("_aa"))).drop("_aa", "_complete")
+    return out.withColumn("cdr3_aa", F.when(F.col("reason").isNull(), F.col("_aa"))).drop("_aa")
 
 
 def apply_invalid_policy(parsed: DataFrame, policy: str = "skip") -> DataFrame:
@@ -71,25 +66,25 @@ def aa_clone_sums(parsed: DataFrame, keys: list[str] = ["sample_id"]) -> DataFra
     )
 
 
+def with_source(sums: DataFrame, source: str = "auto") -> DataFrame:
+    """Add the frequency column to use per sample and its total ('none' when no total is positive and finite)."""
+    has_reads = F.col("total_reads_valid_nt") > 0
+    amounts = {s: F.col(s) for s in FREQUENCY_SOURCES[:2]} | {"read_fraction": F.when(has_reads, F.lit(1.0)).otherwise(F.lit(0.0))}
+    name, amount = F.lit("none"), F.lit(0.0)
+    for s in reversed(FREQUENCY_SOURCES if source == "auto" else [source]):
+        usable = has_reads & (amounts[s] > 0) & (amounts[s] < F.lit(float("inf")))
+        name = F.when(usable, F.lit(s)).otherwise(name)
+        amount = F.when(usable, amounts[s]).otherwise(amount)
+    return sums.withColumns({"frequency_source": name, "frequency_sum": amount})
+
+
 def choose_frequency_source(aa: DataFrame, keys: list[str] = ["sample_id"], source: str = "auto") -> DataFrame:
-    """Per sample: the frequency column to use and its total ('none' when no total is positive and finite)."""
     sums = aa.groupBy(*keys).agg(
         F.sum("input_cell_frequency_sum").alias("input_cell_frequency_sum"),
         F.sum("input_frequency_sum").alias("input_frequency_sum"),
         F.sum("read_count").alias("total_reads_valid_nt"),
     )
-    sums = sums.withColumn("read_fraction", F.when(F.col("total_reads_valid_nt") > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    wanted = FREQUENCY_SOURCES if source == "auto" else [source]
-    usable = [(s, (F.col(s) > 0) & (F.col(s) < F.lit(float("inf")))) for s in wanted]
-    name, amount = F.lit("none"), F.lit(0.0)
-    for s, ok in reversed(usable):
-        name = F.when(ok, F.lit(s)).otherwise(name)
-        amount = F.when(ok, F.col(s)).otherwise(amount)
-    return sums.select(
-        *keys, "total_reads_valid_nt",
-        F.when(F.col("total_reads_valid_nt") > 0, name).otherwise(F.lit("none")).alias("frequency_source"),
-        F.when(F.col("total_reads_valid_nt") > 0, amount).otherwise(F.lit(0.0)).alias("frequency_sum"),
-    )
+    return with_source(sums, source).select(*keys, "total_reads_valid_nt", "frequency_source", "frequency_sum")
 
 
 def aa_clone_table(parsed: DataFrame, keys: list[str] = ["sample_id"], source: str = "auto") -> DataFrame:
@@ -130,26 +125,43 @@ def sample_summary(
     parsed: DataFrame, keys: list[str] = ["sample_id"], source: str = "auto", min_rows: int = 10,
     min_read_ratio: float = 0.70, min_row_ratio: float = 0.70, norm_tolerance: float = 1e-6,
 ) -> DataFrame:
-    """Sample summary with the quality verdict: hard failures, warnings and their text."""
-    rows = row_counters(parsed, keys)
-    aa = aa_clone_sums(parsed, keys)
-    totals = choose_frequency_source(aa, keys, source).drop("total_reads_valid_nt")
-    table = aa_clone_table(parsed, keys, source)
-    per_sample = aa.groupBy(*keys).agg(
-        F.sum("nt_clone_number").alias("unique_valid_nt_clones"), F.count(F.lit(1)).alias("aa_clone_number")
+    """Sample summary with the quality verdict, in one pass over the rows.
+
+    Rows fold to (sample, reason, sequence, variant), then to (sample, reason, sequence), then to the sample; each fold
+    combines before its shuffle, so the last one moves a few partial rows per sample however large the sample is.
+    """
+    valid = F.col("reason").isNull()
+    by_nt = parsed.groupBy(*keys, "reason", "cdr3_aa", F.when(valid, F.col("cdr3_nt")).alias("cdr3_nt")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("read_count").alias("reads"),
+        F.sum("input_frequency").alias("freq"),
+        F.sum("input_cell_frequency").alias("cell_freq"),
     )
-    norms = table.groupBy(*keys).agg(
-        F.sum("frequency_norm").alias("frequency_norm_sum"), F.sum("read_fraction").alias("read_fraction_sum")
+    by_aa = by_nt.groupBy(*keys, "reason", "cdr3_aa").agg(
+        F.count(F.lit(1)).alias("variants"), *[F.sum(c).alias(c) for c in ("rows", "reads", "freq", "cell_freq")]
     )
-    base = rows.join(per_sample, keys, "left").join(totals, keys, "left").join(norms, keys, "left")
-    base = base.fillna(0, ["unique_valid_nt_clones", "aa_clone_number"]).fillna(
-        0.0, ["frequency_sum", "frequency_norm_sum", "read_fraction_sum"]
-    ).fillna("none", ["frequency_source"])
-    ratios = base.withColumns({
+
+    def over_valid(c: str, zero: float) -> Column:
+        return F.coalesce(F.sum(F.when(valid, F.col(c))), F.lit(zero))
+
+    per_sample = by_aa.groupBy(*keys).agg(
+        F.sum("rows").alias("input_nt_rows"),
+        over_valid("rows", 0).cast("bigint").alias("valid_nt_rows"),
+        F.coalesce(F.sum("reads"), F.lit(0)).alias("total_reads_all_nt"),
+        over_valid("reads", 0).cast("bigint").alias("total_reads_valid_nt"),
+        *[F.coalesce(F.sum(F.when(F.col("reason") == r, F.col("rows"))), F.lit(0)).alias(f"{r}_rows") for r in INVALID_REASONS],
+        over_valid("variants", 0).cast("bigint").alias("unique_valid_nt_clones"),
+        count_if(valid).alias("aa_clone_number"),
+        over_valid("cell_freq", 0.0).alias("input_cell_frequency_sum"),
+        over_valid("freq", 0.0).alias("input_frequency_sum"),
+    )
+    ratios = with_source(per_sample, source).withColumns({
+        "frequency_norm_sum": F.when(F.col("frequency_sum") > 0, F.lit(1.0)).otherwise(F.lit(0.0)),
+        "read_fraction_sum": F.when(F.col("total_reads_valid_nt") > 0, F.lit(1.0)).otherwise(F.lit(0.0)),
         "valid_nt_row_ratio": safe_ratio("valid_nt_rows", "input_nt_rows"),
         "valid_read_ratio": safe_ratio("total_reads_valid_nt", "total_reads_all_nt"),
         "aa_clone_reduction_ratio": safe_ratio("aa_clone_number", "unique_valid_nt_clones"),
-    })
+    }).drop("input_cell_frequency_sum", "input_frequency_sum")
     return quality_verdict(ratios, min_rows, min_read_ratio, min_row_ratio, norm_tolerance)
 
 

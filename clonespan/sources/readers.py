@@ -38,9 +38,8 @@ def clone_tokens(lines: DataFrame, value: str = "value") -> DataFrame:
 
     `row_order` only orders rows inside a file for logs; it is not the physical line number.
     """
-    text = F.trim(F.regexp_replace(F.regexp_replace(value, "^﻿", ""), r"^\s+|\s+$", ""))
-    kept = lines.withColumn("_text", text).filter((F.col("_text") != "") & ~F.col("_text").startswith("#"))
-    tokens = F.filter(F.split("_text", TOKEN_SEPARATOR), lambda t: t != "")
+    kept = lines.filter(F.col(value).rlike(r"^\uFEFF?\s*[^\s#]"))
+    tokens = F.filter(F.split(F.ltrim(F.col(value), F.lit("\uFEFF")), TOKEN_SEPARATOR), lambda t: t != "")
     return kept.select(
         *[c for c in lines.columns if c != value], tokens.alias("tokens"), F.monotonically_increasing_id().alias("row_order")
     )
