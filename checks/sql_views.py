@@ -151,3 +151,84 @@ select c_custkey as sample_id, case when c_acctbal > 4500 then 1 else 0 end as y
   c_mktsegment as material, cast(coalesce(n, 0) as double) as x1, coalesce(m, 0.0) as x2, coalesce(x, 0.0) as x3, cast(c_nationkey as double) as x4, 1.0 as x5, c_custkey % 5 + 1 as fold
 from customer left join (select o_custkey, count(*) as n, avg(o_totalprice) as m, max(o_totalprice) as x from orders group by 1) o on c_custkey = o_custkey
 """
+FRAGMENTS["kmers"] = """
+select x.sample_id, kmer, n as clones_with_kmer, n / c.n_clones as unweighted_value, w as weighted_value
+from (select sample_id, kmer, count(*) as n, sum(frequency_norm) as w from (
+        select distinct sample_id, cdr3_aa, frequency_norm, substr(cdr3_aa, i, 3) as kmer
+        from (select *, unnest(range(1, len(cdr3_aa) - 1)) as i from clones) a) b group by 1, 2) x
+join (select sample_id, count(*) as n_clones from clones group by 1) c on x.sample_id = c.sample_id
+"""
+FRAGMENTS["vocab_stats"] = """
+select kmer, count(*) as training_sample_count, count(*) / max(n) as training_sample_prevalence,
+  sum(unweighted_value) / max(n) as mean_unweighted_value, greatest(sum(unweighted_value * unweighted_value) / max(n) - power(sum(unweighted_value) / max(n), 2), 0) as variance_unweighted_value,
+  sum(weighted_value) / max(n) as mean_weighted_value, greatest(sum(weighted_value * weighted_value) / max(n) - power(sum(weighted_value) / max(n), 2), 0) as variance_weighted_value
+from kmers, (select count(distinct sample_id) as n from clones) t group by kmer
+"""
+FRAGMENTS["vocab"] = """
+select *, reasons = '' as keep, case when reasons = '' then 'retained' else reasons end as filter_reason from (
+ select *, concat_ws(';', case when training_sample_count < 5 then 'low_sample_count' end, case when training_sample_prevalence < 0.5 then 'low_prevalence' end,
+   case when variance_unweighted_value < 1e-12 and variance_weighted_value < 1e-12 then 'low_variance_both' end) as reasons from vocab_stats) v
+"""
+FRAGMENTS["vocab_ranked"] = """
+select *, row_number() over (order by keep desc, training_sample_prevalence desc, kmer) as vocabulary_rank from vocab
+"""
+
+
+def composition_sql(key: str = "sample_id", table: str = "clones") -> str:
+    plain = ", ".join(f"avg({_n(r)} / len(cdr3_aa)) as \"{r}_frequency\"" for r in RESIDUES)
+    weighted = ", ".join(f"sum(frequency_norm * {_n(r)} / len(cdr3_aa)) as \"weighted_{r}_frequency\"" for r in RESIDUES)
+    return f"select {key}, {plain}, {weighted} from {table} group by {key}"
+
+
+FRAGMENTS["composition"] = composition_sql()
+FRAGMENTS["physico"] = (
+    "select sample_id, avg(hydrophobicity) as mean_hydrophobicity, sum(frequency_norm * hydrophobicity) as weighted_hydrophobicity, avg(charge) as mean_charge, "
+    "sum(frequency_norm * charge) as weighted_charge, avg(aromaticity) as aromaticity, sum(frequency_norm * aromaticity) as weighted_aromaticity, "
+    + ", ".join(f"avg({g}) as {g}_aa_ratio, sum(frequency_norm * {g}) as weighted_{g}_aa_ratio" for g in RESIDUE_GROUPS)
+    + " from seq_scores group by 1"
+)
+
+
+def diversity_sql(key: str, table: str) -> str:
+    return f"""
+select *, 1 / Simpson as "inverse_Simpson", case when aa_clone_number <= 1 then 1.0 else least(greatest(1 - Shannon / ln(aa_clone_number), 0), 1) end as clonality
+from (select {key}, count(*) as aa_clone_number, sum(case when frequency_norm > 0 then -frequency_norm * ln(frequency_norm) else 0 end) as Shannon, sum(frequency_norm * frequency_norm) as Simpson
+      from {table} group by {key}) d"""
+
+
+def evenness_sql(key: str, table: str) -> str:
+    tops = ", ".join(f"sum(case when down <= {k} then frequency_norm else 0 end) as {'top1_frequency' if k == 1 else f'top{k}_cumulative_frequency'}" for k in (1, 5, 10, 20, 50))
+    return f"""
+select {key}, least(greatest(2 * sum(up * frequency_norm) / (count(*) * sum(frequency_norm)) - (count(*) + 1) / count(*), 0), 1) as Gini, {tops}
+from (select {key}, frequency_norm, row_number() over (partition by {key} order by frequency_norm, cdr3_aa) as up,
+        row_number() over (partition by {key} order by frequency_norm desc, cdr3_aa) as down from {table}) r group by {key}"""
+
+
+def length_sql(key: str, table: str) -> str:
+    mass = ", ".join(f"sum(case when aa_length = {n} then frequency_norm else 0 end) as weighted_length_{n}_freq" for n in range(8, 26))
+    return f"""
+select {key}, avg(aa_length) as mean_aa_length, quantile_cont(cast(aa_length as double), 0.5) as median_aa_length, stddev_pop(aa_length) as sd_aa_length,
+  sum(frequency_norm * aa_length) as weighted_mean_aa_length, case when min(aa_length) = max(aa_length) then 0 else sqrt(greatest(sum(frequency_norm * aa_length * aa_length) - power(sum(frequency_norm * aa_length), 2), 0)) end as weighted_sd_aa_length,
+  {mass}, sum(case when aa_length not between 8 and 25 then frequency_norm else 0 end) as weighted_length_other_freq
+from {table} group by {key}"""
+
+
+FRAGMENTS["diversity"] = diversity_sql("sample_id", "clones")
+FRAGMENTS["evenness"] = evenness_sql("sample_id", "clones")
+FRAGMENTS["lengths"] = length_sql("sample_id", "clones")
+FRAGMENTS["inc"] = """
+select x.sample_id, cdr3_aa, w / t as frequency_norm from (select l_orderkey % 100 as sample_id, l_partkey as cdr3_aa, sum(l_extendedprice) as w from lineitem group by 1, 2) x
+join (select l_orderkey % 100 as sample_id, sum(l_extendedprice) as t from lineitem group by 1) y on x.sample_id = y.sample_id
+"""
+FRAGMENTS["inc_two"] = """
+select x.receptor, x.sample_id, cdr3_aa, w / t as frequency_norm from (select l_linestatus as receptor, l_orderkey % 100 as sample_id, l_partkey as cdr3_aa, sum(l_extendedprice) as w from lineitem group by 1, 2, 3) x
+join (select l_linestatus as receptor, l_orderkey % 100 as sample_id, sum(l_extendedprice) as t from lineitem group by 1, 2) y on x.sample_id = y.sample_id and x.receptor = y.receptor
+"""
+FRAGMENTS["samples"] = """
+select sample_id, case when sample_id % 5 < 3 then 'A' else 'B' end as cohort, cast(sample_id % 4 as varchar) as batch, cast(sample_id % 3 as varchar) as material,
+  cast(sample_id % 2 as varchar) as sex, sample_id as patient, 30 + (sample_id * 7) % 50 as age from (select distinct o_orderkey % 100 as sample_id from orders) s
+"""
+FRAGMENTS["subjects"] = """
+select c_custkey as sample_id, case when c_acctbal > 4500 then 'B' else 'A' end as cohort, cast(c_nationkey % 4 as varchar) as batch, c_mktsegment as material,
+  cast(c_custkey % 2 as varchar) as sex, c_custkey as patient, 20 + c_custkey % 60 as age from customer
+"""
