@@ -126,9 +126,9 @@ def _(v):
     left join kmers k on k.sample_id = s.sample_id and k.kmer = w.kmer""")
 def _(v):
     names = X.retained_kmers(vocabulary(v))
-    wide = X.kmer_matrix(v.clones.select("sample_id").distinct(), X.kmer_features(v.clones, KEY), names, {"unweighted_value": ""})
-    labels, cells = ", ".join(f"'{n}'" for n in names), ", ".join(f"`{n}`" for n in names)
-    return wide.selectExpr("sample_id", f"inline(arrays_zip(array({labels}), array({cells})))").toDF("sample_id", "kmer", "value")
+    cells = X.kmer_vectors(v.clones.select("sample_id").distinct(), X.kmer_features(v.clones, KEY), names, ["unweighted_value"])
+    labels = F.array(*[F.lit(n) for n in names])
+    return cells.select("sample_id", F.inline(F.arrays_zip(labels, "unweighted_value"))).toDF("sample_id", "kmer", "value")
 
 
 CORE = [*X.DEPTH_NAMES, *X.DIVERSITY_NAMES, *X.TOP_NAMES.values(), *X.LENGTH_STATS, *X.LENGTH_NAMES, *X.COMPOSITION_NAMES, *X.PHYSICO_NAMES]
