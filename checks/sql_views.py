@@ -232,3 +232,73 @@ FRAGMENTS["subjects"] = """
 select c_custkey as sample_id, case when c_acctbal > 4500 then 'B' else 'A' end as cohort, cast(c_nationkey % 4 as varchar) as batch, c_mktsegment as material,
   cast(c_custkey % 2 as varchar) as sex, c_custkey as patient, 20 + c_custkey % 60 as age from customer
 """
+FRAGMENTS["scored"] = "select c_custkey as sample_id, y, ((c_custkey * 31) % 101 + 20 * y) / 121.0 as p from (select *, case when c_acctbal > 4500 then 1 else 0 end as y from customer) c"
+FRAGMENTS["preds"] = """
+select c_custkey as sample_id, y, r as outer_repeat, (c_custkey + r) % 5 + 1 as outer_fold, 'M' || m as model, ((c_custkey * 31 + r * 17 + m * 7) % 101 + 10 * y * m) / 131.0 as p, 0.5 as threshold
+from (select *, case when c_acctbal > 4500 then 1 else 0 end as y from customer) c, range(1, 21) t(r), range(0, 4) u(m)
+"""
+FRAGMENTS["coefs"] = """
+select event_type as model, 'f' || user_id as feature_name, event_id % 100 as task, case when abs(sum(value) - 35) < 15 then 0.0 else sum(value) - 35 end as coefficient from events group by 1, 2, 3
+"""
+_RATES = """case when tp + fp + fn + tn = 0 then 0 else (tp + tn) / (tp + fp + fn + tn) end as accuracy, case when tp + fn = 0 then 0 else tp / (tp + fn) end as sensitivity_recall,
+  case when tn + fp > 0 then tn / (tn + fp) end as specificity, case when tp + fp = 0 then 0 else tp / (tp + fp) end as "precision", case when 2 * tp + fp + fn = 0 then 0 else 2 * tp / (2 * tp + fp + fn) end as f1"""
+
+
+def confusion_sql(table: str, keys: str, cut: str = "0.5") -> str:
+    k = f"{keys}, " if keys else ""
+    g = f"group by {keys}" if keys else ""
+    return f"""select *, {_RATES} from (select {k}count(*) filter (y = 0 and p < {cut}) as tn, count(*) filter (y = 0 and p >= {cut}) as fp,
+      count(*) filter (y = 1 and p < {cut}) as fn, count(*) filter (y = 1 and p >= {cut}) as tp from {table} {g}) c"""
+
+
+def ranking_sql(table: str, keys: str) -> str:
+    """ROC AUC by average ranks, average precision by cumulative counts over distinct scores."""
+    k = f"{keys}, " if keys else ""
+    part = f"partition by {keys}" if keys else ""
+    g = f"group by {keys}" if keys else ""
+    return f"""
+select {k}1 - sum(pos * (fp - neg / 2)) / (sum(pos) * sum(neg)) as roc_auc, sum(pos * tp / (tp + fp)) / sum(pos) as pr_auc
+from (select *, sum(pos) over ({part} order by p desc) as tp, sum(neg) over ({part} order by p desc) as fp
+      from (select {k}p, count(*) filter (y = 1) as pos, count(*) filter (y = 0) as neg from {table} group by {k}p) b) c {g}"""
+
+
+def threshold_sql(table: str, keys: str, extra: bool = False) -> str:
+    k = f"{keys}, " if keys else ""
+    part = f"partition by {keys}" if keys else ""
+    more = f" union all select {k}c as p, 0 as pos, 0 as neg from (select distinct {keys or '1'} from {table}) d, (values (0.0), (0.5), (1.0)) v(c)" if extra else ""
+    return f"""
+select *, {_RATES}, fp / (fp + tn) as fpr from (
+  select {k}threshold, tp, fp, allp - tp as fn, alln - fp as tn from (
+   select {k}p as threshold, sum(pos) over ({part} order by p desc) as tp, sum(neg) over ({part} order by p desc) as fp, sum(pos) over ({part}) as allp, sum(neg) over ({part}) as alln
+   from (select {k}cast(p as double) as p, sum(pos) as pos, sum(neg) as neg from (select {k}p, case when y = 1 then 1 else 0 end as pos, case when y = 0 then 1 else 0 end as neg from {table}{more}) a group by {k}cast(p as double)) b) c) d"""
+
+
+def rule_sql(table: str, keys: str) -> str:
+    """Youden, max-F1 and sensitivity-target thresholds."""
+    k = f"{keys}, " if keys else ""
+    part = f"partition by {keys}" if keys else ""
+    own, cut = threshold_sql(table, keys), threshold_sql(table, keys, True)
+    return f"""
+select {k}threshold, 'youden' as rule from (select *, row_number() over ({part} order by sensitivity_recall - fpr desc, abs(threshold - 0.5), threshold desc) as rn from ({own}) a) x where rn = 1
+union all select {k}threshold, 'max_f1' as rule from (select *, row_number() over ({part} order by f1 desc, specificity desc, abs(threshold - 0.5), threshold) as rn from ({cut}) a) x where rn = 1
+union all select {k}threshold, 'sensitivity_target' as rule from (select *, row_number() over ({part} order by specificity desc, "precision" desc, abs(threshold - 0.5), threshold) as rn from ({cut}) a where sensitivity_recall + 1e-12 >= 0.8) x where rn = 1"""
+
+
+FRAGMENTS["rep_metrics"] = f"""
+select c.*, r.roc_auc, r.pr_auc from ({confusion_sql('preds', 'outer_repeat, model')}) c join ({ranking_sql('preds', 'outer_repeat, model')}) r on c.outer_repeat = r.outer_repeat and c.model = r.model
+"""
+FRAGMENTS["rep_long"] = "select * from (unpivot (select outer_repeat, model, roc_auc, pr_auc, cast(sensitivity_recall as double) as sensitivity_recall, cast(specificity as double) as specificity, cast(f1 as double) as f1 from rep_metrics) on roc_auc, pr_auc, sensitivity_recall, specificity, f1 into name metric value value)"
+FRAGMENTS["paired"] = """
+select a.metric, a.outer_repeat, a.model as model_a, b.model as model_b, a.value as value_a, b.value as value_b, b.value - a.value as difference
+from rep_long a join rep_long b on a.metric = b.metric and a.outer_repeat = b.outer_repeat and a.model < b.model
+"""
+FRAGMENTS["signed"] = """
+select *, rank() over (partition by metric, model_a, model_b order by a) + (count(*) over (partition by metric, model_a, model_b, a) - 1) / 2 as r
+from (select metric, model_a, model_b, round(difference, 12) as d, abs(round(difference, 12)) as a from paired) x where d <> 0
+"""
+FRAGMENTS["wilcoxon"] = """
+select p.metric, p.model_a, p.model_b, coalesce(w_plus, 0) as w_plus, coalesce(w_minus, 0) as w_minus, coalesce(n_nonzero, 0) as n_nonzero, least(coalesce(w_plus, 0), coalesce(w_minus, 0)) as statistic,
+  case when coalesce(w_plus + w_minus, 0) = 0 then 0 else (w_plus - w_minus) / (w_plus + w_minus) end as rank_biserial
+from (select distinct metric, model_a, model_b from paired) p left join (select metric, model_a, model_b, coalesce(sum(r) filter (d > 0), 0) as w_plus, coalesce(sum(r) filter (d < 0), 0) as w_minus, count(*) as n_nonzero
+  from signed group by 1, 2, 3) s on p.metric = s.metric and p.model_a = s.model_a and p.model_b = s.model_b
+"""
