@@ -59,9 +59,9 @@ def running_totals(
 
 def positions(df: DataFrame, keys: list[str], hash_col: str, tie: str, name: str = "position") -> DataFrame:
     """0-based position of every row inside its group, ordered by a hex hash text and then the tie column."""
-    counted = df.withColumn("_n", F.lit(1).cast("bigint"))
-    ranked = running_totals(counted, keys, [F.col(hash_col), F.col(tie)], ["_n"], F.substring(hash_col, 1, 2))
-    return ranked.withColumnRenamed("_n_before", name).drop("_n")
+    counted = df.withColumn("_one", F.lit(1).cast("bigint"))
+    ranked = running_totals(counted, keys, [F.col(hash_col), F.col(tie)], ["_one"], F.substring(hash_col, 1, 2))
+    return ranked.withColumnRenamed("_one_before", name).drop("_one")
 
 
 def value_blocks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
