@@ -60,7 +60,7 @@ left join (select sample_id, cdr3_aa, frequency_norm, case when cohort = 'A' the
   on o.sample_id = h.sample_id and o.cdr3_aa = c.cdr3_aa
 """
 FRAGMENTS["loo_flagged"] = f"select *, {flags_sql('neg_count', 'pos_count', 'n_neg', 'n_pos')} from loo_counts"
-_loo = ", ".join(
+LOO_COLUMNS = ", ".join(
     f"count(*) filter (own and \"{s}\") as {p}_clone_number, count(*) filter (own and \"{s}\") / count(*) filter (own) as {p}_clone_ratio, "
     f"coalesce(sum(frequency_norm) filter (own and \"{s}\"), 0) as {p}_frequency_sum, count(*) filter (\"{s}\") as {p}_size, "
     f"case when count(*) filter (\"{s}\") = 0 then 0.0 else count(*) filter (own and \"{s}\") / count(*) filter (\"{s}\") end as {p}_set_coverage"
@@ -69,7 +69,7 @@ _loo = ", ".join(
 FRAGMENTS["loo"] = f"""
 select *, {RATIO} from (select held as sample_id, max(held_cohort) as cohort, max(n_neg) as "n_A_reference", max(n_pos) as "n_B_reference", max(n_neg) + max(n_pos) as n_reference,
   greatest(3, ceil(cast(0.02 as double) * (max(n_neg) + max(n_pos)))) as global_threshold, greatest(3, ceil(cast(0.05 as double) * max(n_neg))) as "A_threshold",
-  greatest(3, ceil(cast(0.05 as double) * max(n_pos))) as "B_threshold", {_loo} from loo_flagged group by 1) x
+  greatest(3, ceil(cast(0.05 as double) * max(n_pos))) as "B_threshold", {LOO_COLUMNS} from loo_flagged group by 1) x
 """
 FRAGMENTS["folds"] = "select *, sample_id // 5 % 4 + 1 as fold from samples"
 FRAGMENTS["cf_counts"] = """

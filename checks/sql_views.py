@@ -302,3 +302,5 @@ select p.metric, p.model_a, p.model_b, coalesce(w_plus, 0) as w_plus, coalesce(w
 from (select distinct metric, model_a, model_b from paired) p left join (select metric, model_a, model_b, coalesce(sum(r) filter (d > 0), 0) as w_plus, coalesce(sum(r) filter (d < 0), 0) as w_minus, count(*) as n_nonzero
   from signed group by 1, 2, 3) s on p.metric = s.metric and p.model_a = s.model_a and p.model_b = s.model_b
 """
+FRAGMENTS["inc_diversity"] = diversity_sql("sample_id", "inc")
+FRAGMENTS["inc_evenness"] = evenness_sql("sample_id", "inc")

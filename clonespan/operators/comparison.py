@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import count_if, hash_integer, order_hash
 from .joins import pairs_of
-from .metrics import confusion, ranking_metrics
-from .ranking import attach_totals, positions
+from .metrics import confusion, ranking_from_blocks, ranking_metrics, rates
+from .ranking import positions, running_totals, unit_level
 
 METRICS = ["roc_auc", "pr_auc", "sensitivity_recall", "specificity", "f1"]
 
@@ -198,8 +198,6 @@ def stratified_bootstrap(
 
 def replicate_metrics(drawn: DataFrame, keys: list[str], score: str, label: str, times: str, threshold: float) -> DataFrame:
     """The eight metrics of weighted rows."""
-    from .ranking import running_totals, unit_level
-
     y = F.col(label) == 1
     hat = F.col(score) >= threshold
     w = F.col(times)
@@ -211,8 +209,6 @@ def replicate_metrics(drawn: DataFrame, keys: list[str], score: str, label: str,
     counts = drawn.groupBy(*keys).agg(
         mass(~y & ~hat).alias("TN"), mass(~y & hat).alias("FP"), mass(y & ~hat).alias("FN"), mass(y & hat).alias("TP"), (F.sum(w * d * d) / F.sum(w)).alias("brier_score")
     )
-    from .metrics import ranking_from_blocks, rates
-
     blocks = drawn.groupBy(*keys, F.col(score).alias("threshold")).agg(mass(y).alias("pos"), mass(~y).alias("neg"))
     ranked = running_totals(blocks, keys, [F.col("threshold").desc()], ["pos", "neg"], unit_level("threshold"), level_descending=True)
     ranked = ranked.select("*", (F.col("pos_before") + F.col("pos")).alias("tp"), (F.col("neg_before") + F.col("neg")).alias("fp"))
