@@ -183,7 +183,7 @@ def _(v):
 @query("scl16_scl17_thresholds", "sample_id n:i global_threshold:i group_threshold:i train_size:i", """
     select l_partkey as sample_id, count(*) as n, greatest(3, cast(ceil(0.02 * count(*)) as bigint)) as global_threshold,
       greatest(3, cast(ceil(0.05 * count(*)) as bigint)) as group_threshold,
-      case when count(*) = 1 then 1 else least(greatest(cast(floor(count(*) * 0.7 + 0.5) as bigint), 1), count(*) - 1) end as train_size
+      case when count(*) = 1 then 1 else least(greatest(cast(floor(count(*) * cast(0.7 as double) + 0.5) as bigint), 1), count(*) - 1) end as train_size
     from lineitem group by 1""")
 def _(v):
     t = v.table("lineitem").groupBy(F.col("l_partkey").alias("sample_id")).agg(F.count(F.lit(1)).alias("n"))
@@ -221,7 +221,7 @@ def _(v):
     return v.table("customer").select(F.col("c_custkey").alias("sample_id"), S.derived_seed(7, "c_custkey", "c_nationkey").alias("seed"))
 
 
-@query("scl26_receptor_prefix", "sample_id f_x1:4 f_x2:4 o_x1:4 o_x2:4", """
+@query("scl26_receptor_prefix", "sample_id f_x1:7 f_x2:7 o_x1:7 o_x2:7", """
     select sample_id, x1 as f_x1, x2 as f_x2, x1 as o_x1, x2 as o_x2 from matrix""")
 def _(v):
     f = S.prefix_columns(v.matrix.select("sample_id", "x1", "x2"), "f_", ["sample_id"])

@@ -186,14 +186,17 @@ def cand_preds(v):
     return v.preds.withColumns({"l1_ratio_alpha": pick(ALPHA), "lambda": pick(LAMBDA)})
 
 
+def cand_fits(preds):
+    return preds.groupBy(*CK, "outer_repeat", "outer_fold").agg(
+        (F.round(F.sum("p") * 7).cast("bigint") % 40 + 5).alias("n_nonzero_coefficients"), ((F.max("p") <= 1.0) & (F.col("lambda") > 1)).alias("converged"))
+
+
 def cand_summary(v):
     preds = cand_preds(v)
     repeats = M.ranking_metrics(preds, [*CK, "outer_repeat"])
-    fits = preds.groupBy(*CK, "outer_repeat", "outer_fold").agg(
-        (F.round(F.sum("p") * 7).cast("bigint") % 40 + 5).alias("n_nonzero_coefficients"), ((F.max("p") <= 1.0) & (F.col("lambda") > 1)).alias("converged"))
     means = K.sample_means(preds, [*CK, "sample_id"], 0.5)
     pooled = M.ranking_metrics(means, CK, "mean_probability", "true_label")
-    return O.candidate_summary(repeats, fits, pooled)
+    return O.candidate_summary(repeats, cand_fits(preds), pooled)
 
 
 SUMMARY_SPEC = "l1_ratio_alpha:2 lambda:2 n_repeats:i mean_repeat_roc_auc:8 sd_repeat_roc_auc:8 se_repeat_roc_auc:8 median_repeat_roc_auc:8 mean_repeat_pr_auc:8 sample_mean_oof_roc_auc:8 sample_mean_oof_pr_auc:8 mean_nonzero_coefficients:6 median_nonzero_coefficients:4 all_fits_converged:b"

@@ -198,7 +198,7 @@ def _(v):
 
 # -- joins and sets ----------------------------------------------------------------------------------------------------
 
-@query("join1_checked_left_join", "sample_id cohort x1:4 x2:4", "select s.sample_id, cohort, x1, x2 from subjects s join matrix m on s.sample_id = m.sample_id")
+@query("join1_checked_left_join", "sample_id cohort x1:7 x2:7", "select s.sample_id, cohort, x1, x2 from subjects s join matrix m on s.sample_id = m.sample_id")
 def _(v):
     return J.checked_left_join(v.subjects.select("sample_id", "cohort"), v.matrix.select("sample_id", "x1", "x2"), ["sample_id"])
 
@@ -217,7 +217,7 @@ def _(v):
     return J.shared_keys(o.filter("o_orderstatus = 'P'"), o.filter("o_orderstatus = 'F'"), ["sample_id"])
 
 
-@query("join6_paired_receptors", "patient f_x1:4 f_x2:4 o_x1:4 o_x2:4", "select f.sample_id as patient, f.x1 as f_x1, f.x2 as f_x2, f.x2 as o_x1, f.x1 as o_x2 from matrix f")
+@query("join6_paired_receptors", "patient f_x1:7 f_x2:7 o_x1:7 o_x2:7", "select f.sample_id as patient, f.x1 as f_x1, f.x2 as f_x2, f.x2 as o_x1, f.x1 as o_x2 from matrix f")
 def _(v):
     f = v.matrix.select(F.concat(F.lit("F"), F.col("sample_id").cast("string")).alias("library_id"), "x1", "x2")
     o = v.matrix.select(F.concat(F.lit("O"), F.col("sample_id").cast("string")).alias("library_id"), F.col("x2").alias("x1"), F.col("x1").alias("x2"))
@@ -226,10 +226,10 @@ def _(v):
     return J.paired_blocks({"F": f, "O": o}, mapping)
 
 
-@query("join8_compare_tolerance", "sample_id column_name a:4 b:4", """
-    select sample_id, 'x2' as column_name, x2 as a, x2 * 1.001 as b from matrix where x2 > 0 and material = 'BUILDING'""")
+@query("join8_compare_tolerance", "sample_id column_name a:7 b:7", """
+    select sample_id, 'x2' as column_name, x2 as a, x2 + 1 as b from matrix where x2 > 0 and material = 'BUILDING'""")
 def _(v):
-    b = v.matrix.withColumn("x2", F.when(F.col("material") == "BUILDING", F.col("x2") * 1.001).otherwise(F.col("x2") * (1 + 1e-13)))
+    b = v.matrix.withColumn("x2", F.when(F.col("material") == "BUILDING", F.col("x2") + 1).otherwise(F.col("x2") * (1 + 1e-13)))
     return J.compare_with_tolerance(v.matrix, b, ["sample_id"], ["x1", "x2"])
 
 
@@ -247,7 +247,7 @@ def _(v):
     return dyn.join(v.matrix.select("sample_id", "x1"), "sample_id")
 
 
-@query("set1_union_of_tables", "receptor sample_id value:4", "select 'F' as receptor, sample_id, x1 as value from matrix union all select 'O', sample_id, x2 from matrix")
+@query("set1_union_of_tables", "receptor sample_id value:7", "select 'F' as receptor, sample_id, x1 as value from matrix union all select 'O', sample_id, x2 from matrix")
 def _(v):
     return J.union_tables({"F": v.matrix.select("sample_id", F.col("x1").alias("value")), "O": v.matrix.select("sample_id", F.col("x2").alias("value"))}, "receptor")
 

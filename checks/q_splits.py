@@ -18,7 +18,7 @@ SEEDS, ITER = 20, 6
 STRATA = ["cohort", "batch"]
 
 FRAGMENTS["split_rows"] = f"""
-select *, case when n = 1 then 'train' when position < least(greatest(floor(n * 0.7 + 0.5), 1), n - 1) then 'train' else 'test' end as split
+select *, case when n = 1 then 'train' when position < least(greatest(floor(n * cast(0.7 as double) + 0.5), 1), n - 1) then 'train' else 'test' end as split
 from (select t.seed, s.*, count(*) over (partition by t.seed, cohort, batch) as n, row_number() over (partition by t.seed, cohort, batch order by md5(t.seed || '|' || sample_id), sample_id) - 1 as position
       from subjects s, range(1, {SEEDS + 1}) t(seed)) x
 """

@@ -34,8 +34,11 @@ def classify(typed: DataFrame, complete: Column | None = None) -> DataFrame:
         .when(F.col("input_frequency").isNull() | F.col("input_cell_frequency").isNull(), F.lit("invalid_frequency"))
         .otherwise(sequence_reason("cdr3_nt", "_aa"))
     )
-    out = with_aa.withColumn("reason", reason)
-    return out.withColumn("cdr3_aa", F.when(F.col("reason").isNull(), F.col("_aa"))).drop("_aa")
+    judged = with_aa.withColumn("reason", reason)
+    verdict = F.struct("reason", F.when(F.col("reason").isNull(), F.col("_aa")).alias("cdr3_aa"))
+    # The generator keeps later filters on the verdict above this point.  Pushed below it, a filter would repeat the whole
+    # parse once for itself and once for its output.
+    return judged.select(*typed.columns, F.inline(F.array(verdict)))
 
 
 def apply_invalid_policy(parsed: DataFrame, policy: str = "skip") -> DataFrame:
