@@ -112,10 +112,11 @@ class Views:
         """Amino-acid clones per source: every document's letters cut into consecutive pieces, whole texts used."""
         docs = self.table("documents").select(
             F.col("source").alias("sample_id"), "n_chars", (8 + F.col("doc_id") % 20).cast("int").alias("k"),
-            F.regexp_replace(F.translate("text", LOWER, LOWER.upper()), f"[^{RESIDUES}]", "").alias("letters"),
-        ).filter("letters <> ''")
-        starts = F.sequence(F.lit(0), ((F.length("letters") - 1) / F.col("k")).cast("int"))
-        pieces = docs.select("sample_id", "n_chars", F.explode(F.transform(starts, lambda i: F.col("letters").substr(i * F.col("k") + 1, F.col("k")))).alias("cdr3_aa"))
+            F.upper(F.regexp_replace("text", f"[^{RESIDUES}{RESIDUES.lower()}]", "")).alias("letters"),
+        )
+        # Runs of up to k letters, in one pass over the text.
+        runs = F.regexp_extract_all("letters", F.concat(F.lit(".{1,"), F.col("k").cast("string"), F.lit("}")), F.lit(0))
+        pieces = docs.select("sample_id", "n_chars", F.explode(runs).alias("cdr3_aa"))
         return pieces.groupBy("sample_id", "cdr3_aa").agg(F.sum("n_chars").alias("read_count"), F.count(F.lit(1)).alias("nt_clone_number"))
 
     @cached_property
