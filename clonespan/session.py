@@ -26,12 +26,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Directory for reliable checkpoints: the one the session names, else a fresh local one (tests only)."""
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    """Directory for reliable checkpoints: the shared one the session names; a fresh local one only in local mode."""
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder shared by the cluster")
+        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(path)
     return path
 
