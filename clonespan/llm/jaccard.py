@@ -20,12 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, saved, text_of
-from .tokens import Words, mix, pieces, ranges_hash
+from .tokens import Words, bloom_has, bloom_of, mix, pieces, ranges_hash
 
 #: Growth of the size bands; text bytes that one bucket of tiles is sized for; sets and elements of a block; words of a bitmap.
 BAND_GROWTH, BUCKET_TEXT, BLOCK_SETS, BLOCK_ELEMENTS, BITMAP_WORDS = 1.4, 20 << 20, 2_000, 2_000_000, 8
-#: 64-bit words of the filter over document ids that saves reading texts again (2 MB; when it is full, more texts are read).
-BLOOM_WORDS = 1 << 18
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -206,31 +204,16 @@ def bitmap(elements: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(bool)).view(np.uint64)
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bits of the ids, folded with bit_or; BLOOM_WORDS rows at most come to the driver."""
-    slot = F.explode(F.array(*[F.xxhash64("doc_id", F.lit(k)) for k in range(2)]))
-    bits = ids.select(slot.alias("x")).select(F.pmod("x", F.lit(BLOOM_WORDS)).cast("int").alias("w"), F.expr("shiftleft(1L, cast(shiftrightunsigned(x, 58) as int))").alias("m"))
-    words = np.zeros(BLOOM_WORDS, np.int64)
-    for w, m in bits.groupBy("w").agg(F.bit_or("m")).collect():
-        words[w] = m
-    return words
-
-
 def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(doc_id, h1, h2, elements) of the documents in `wanted` (doc_id, h1, h2): sorted hashes as bytes.
 
     Only texts whose id passes a filter of fixed size are taken up again; the join with `wanted` decides.
     """
-    held = docs.sparkSession.sparkContext.broadcast(_bloom(wanted))
+    held = docs.sparkSession.sparkContext.broadcast(bloom_of(wanted))
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            ok = np.ones(n, bool)
-            for k in ("x0", "x1"):
-                x = batch.column(k).to_numpy()
-                ok &= (held.value[x % BLOOM_WORDS] >> (x.view(np.uint64) >> np.uint64(58)).astype(np.int64)) & 1 > 0
-            rows = pa.array(np.flatnonzero(ok))
+            rows = pa.array(np.flatnonzero(bloom_has(held.value, batch.column("doc_id").to_numpy().view(np.uint64))))
             ids = batch.column("doc_id").take(rows)
             for w in pieces(batch.column("_text").take(rows), lower=True):
                 h, first = shingle_sets(w, width)
@@ -242,7 +225,6 @@ def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 )
 
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().cast("binary").alias("_text"))
-    rows = rows.select("doc_id", "_text", *[F.xxhash64("doc_id", F.lit(k)).alias(f"x{k}") for k in range(2)])
     return rows.mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint, elements binary")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, lines, mixing, rules, sharding, warc
+from . import decontamination, jaccard, lines, mixing, rules, sharding, substrings, warc
 from .shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,18 @@ from documents d left join n using (doc_id) join (select x as doc_id, min(y) as
 """)
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents"), width=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+@query(r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+first as (select h, min(doc_id) as least from win group by h),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from win join first using (h) where least < doc_id),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from d),
+kept as (select doc_id, count(*) filter (gone.p is not null)::bigint as n_removed, string_agg(word, ' ' order by p) filter (gone.p is null) as kept
+         from words left join gone using (doc_id, p) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join kept using (doc_id)
+""")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(table(spark, sf_dir, "documents"))[0]

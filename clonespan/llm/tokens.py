@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Texts of a batch are worked on in pieces of about so many bytes (a longer text is a piece of its own).
 PIECE_BYTES = 2 << 20
@@ -108,3 +110,37 @@ def _words(part: np.ndarray, bounds: np.ndarray, rows: slice) -> Words:
         ends &= ~after
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     return Words(part, start, end, ranges_hash(_BYTE[part], start, end), np.searchsorted(start, bounds), rows)
+
+
+#: 64-bit words of a membership filter: 2 MB whatever the data; a full filter only passes more rows on to the exact join.
+BLOOM_WORDS = 1 << 18
+
+
+def _bloom_places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = mix(np.concatenate([h, ~h]))
+    return (x % np.uint64(BLOOM_WORDS)).astype(np.int64), np.uint64(1) << (x >> np.uint64(58))
+
+
+def bloom_has(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each of the 64-bit values."""
+    at, bit = _bloom_places(h)
+    found = (words[at] & bit) != 0
+    return found[: len(h)] & found[len(h) :]
+
+
+def bloom_of(values: DataFrame) -> np.ndarray:
+    """Filter over the one bigint column of `values`: partial filters per task, folded with bit_or; BLOOM_WORDS rows come to the driver."""
+    column = values.columns[0]
+
+    def run(batches):
+        words = np.zeros(BLOOM_WORDS, np.uint64)
+        for b in batches:
+            at, bit = _bloom_places(b.column(column).to_numpy().view(np.uint64))
+            np.bitwise_or.at(words, at, bit)
+        used = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(words[used].view(np.int64))], names=["w", "m"])
+
+    folded = values.mapInArrow(run, "w int, m bigint").groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    words = np.zeros(BLOOM_WORDS, np.int64)
+    words[folded.column("w").to_numpy()] = folded.column("m").to_numpy()
+    return words.view(np.uint64)
