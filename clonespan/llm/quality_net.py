@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, training_sample
-from .shared import text_of, without
+from .shared import text_of
 
 #: Bytes per frame step (a filter sees two steps), embedding size, filters, hidden units, frames per block, blocks per chunk and per chunk step.
 STRIDE, EMBED, FILTERS, HIDDEN, BLOCK, CHUNK_BLOCKS, STEP_BLOCKS = 4, 8, 24, 16, 32, 4, 3
@@ -179,11 +179,13 @@ def score(docs: DataFrame, net: Net, carry: tuple[str, ...] = ("doc_id",)) -> Da
     """
     held = docs.sparkSession.sparkContext.broadcast(net)
     kept = [c for c in carry if c not in ("score", "predicted")]
-    rows = docs.select(*[docs[f"`{c}`"] for c in kept], text_of().cast("binary").alias("_text"))
+    carried = "text" in kept
+    rows = docs.select(*[docs[f"`{c}`"] for c in kept], *([] if carried else [text_of().cast("binary").alias("_text")]))
 
     def run(batches):
         for b in batches:
-            p = held.value.scores(b.column("_text").to_pylist())
+            texts = b.column("text").cast(pa.binary()).fill_null(b"") if carried else b.column("_text")
+            p = held.value.scores(texts.to_pylist())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"]
@@ -196,7 +198,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` less those that the network predicts to be of label 0; same columns."""
-    names = without(docs, "_accept").columns
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), "text")
-    return score(rows, fit(docs, labels), carry=("_row",)).filter("predicted = 1").select("_row.*")
+    """`docs` less those that the network predicts to be of label 0; same columns, whatever their names."""
+    rest = [docs[f"`{c}`"] for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*rest).alias("_row"), "text")
+    kept = score(rows, fit(docs, labels), carry=("_row", "text")).filter("predicted = 1")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
