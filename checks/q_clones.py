@@ -212,7 +212,7 @@ def _(v):
 def _(v):
     t = v.params.groupBy("lambda").agg(F.count(F.lit(1)).alias("n"))
     return t.select("*", S.snap_to_grid(F.col("lambda") + 1e-12, [0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0]).alias("snapped"),
-                    S.next_grid_value_up("lambda").alias("next_up"), S.next_grid_value_down("lambda").alias("next_down"))
+                    S.series_step("lambda", 1).alias("next_up"), S.series_step("lambda", -1).alias("next_down"))
 
 
 @query("scl25_derived_seed", "sample_id seed:i", """

@@ -71,9 +71,11 @@ def _(v):
     return O.classify_features(names)
 
 
-@query("flt7_static_predictors", "feature_name", f"select feature_name from ({GROUP_SQL}) g where feature_role = 'candidate_predictor'")
+@query("flt7_static_predictors", "feature_name n:i", f"select feature_name, n from ({GROUP_SQL}) g where feature_role = 'candidate_predictor'")
 def _(v):
-    return O.static_predictors(manifest(v))
+    core = X.core_table(v.clones, summary(v), KEY)
+    known = core.select(*[F.col(c).cast("double").alias(c) for c in CORE]).unpivot([], CORE, "feature_name", "value")
+    return O.static_predictors(manifest(v)).join(known.groupBy("feature_name").agg(F.count("value").alias("n")), "feature_name")
 
 
 @query("mod21_ordered_predictors", "feature_name position:i")

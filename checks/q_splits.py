@@ -130,7 +130,15 @@ select {keys}, sum(weight * term) as score from (
 
 FRAGMENTS["fold_scored"] = fold_score_sql("fold_rows", "candidate")
 FRAGMENTS["fold_ranked"] = "select candidate, score, row_number() over (order by round(score, 9), candidate) as repeat from fold_scored"
-FRAGMENTS["outer_rows"] = f"select r.*, k.repeat as outer_repeat, r.fold as outer_fold from fold_rows r join fold_ranked k on r.candidate = k.candidate where k.repeat <= {REPEATS}"
+FRAGMENTS["outer_pool"] = f"""
+select outer_repeat, candidate, x.*, (position + offs) % {K} + 1 as fold from (
+  select r.outer_repeat, t.candidate, s.*, row_number() over (partition by r.outer_repeat, t.candidate, s.cohort order by md5('1|' || r.outer_repeat || '|' || t.candidate || '|' || sample_id), sample_id) - 1 as position
+  from subjects s, range(1, {REPEATS + 1}) r(outer_repeat), range(1, {CANDS + 1}) t(candidate)) x
+join (select cohort, coalesce(sum(n) over (order by n desc, cohort rows between unbounded preceding and 1 preceding), 0) as offs from (select cohort, count(*) as n from subjects group by 1) c) o on x.cohort = o.cohort
+"""
+FRAGMENTS["outer_scored"] = fold_score_sql("outer_pool", "outer_repeat, candidate")
+FRAGMENTS["outer_best"] = "select outer_repeat, candidate from (select *, row_number() over (partition by outer_repeat order by round(score, 9), candidate) as r from outer_scored) x where r = 1"
+FRAGMENTS["outer_rows"] = "select p.*, p.fold as outer_fold from outer_pool p join outer_best b on p.outer_repeat = b.outer_repeat and p.candidate = b.candidate"
 FRAGMENTS["training_rows"] = f"select o.outer_repeat, t.task_fold, o.sample_id, o.cohort, o.batch, o.material, o.sex from outer_rows o, range(1, {K + 1}) t(task_fold) where o.outer_fold <> t.task_fold"
 FRAGMENTS["inner_pool"] = f"""
 select x.*, (position + offs) % {K} + 1 as fold from (
@@ -280,7 +288,7 @@ def labelled(v):
 
 
 def flags(v):
-    return B.iteration_flags(B.iteration_counts(labelled(v), subsamples(v), ITER), subsamples(v), v.samples)
+    return B.iteration_flags(B.iteration_counts(labelled(v), subsamples(v), ITER, min_count=min(min(s.global_min_count, s.group_min_count) for s in B.SCHEMES)), subsamples(v), v.samples)
 
 
 def held(v):

@@ -136,24 +136,24 @@ def snap_to_grid(c: str | Column, grid: list[float], atol: float = 1e-10) -> Col
     return F.coalesce(*[F.when(F.abs(x - F.lit(g)) <= max(atol, 1e-9 * abs(g)), F.lit(float(g))) for g in grid])
 
 
-def next_grid_value_up(c: str | Column, cap: float | None = None) -> Column:
-    """Next larger value of the 1-3-10 series."""
-    x = col(c)
-    scale = F.pow(F.lit(10.0), F.floor(F.log10(x)))
-    m = x / scale
-    cand = F.when(m < 1.5, 3.0 * scale).when(m < 5.0, 10.0 * scale).otherwise(30.0 * scale)
-    cand = F.when(cand <= x, x * 3.0).otherwise(cand)
-    return F.least(cand, F.lit(float(cap))) if cap is not None else cand
+# Leading digits from which a value counts as the 3, or as the next 1, of the series 1, 3, 10, 30, ...
+SERIES_CUTS = {1: (1.5, 5.0), -1: (2.0, 7.0)}
+
 
+def series_step(c: str | Column, step: int, limit: float | None = None) -> Column:
+    """The value one place up (step 1) or down (step -1) the 1-3-10 series, not beyond the limit.
 
-def next_grid_value_down(c: str | Column, floor: float | None = None) -> Column:
-    """Next smaller value of the 1-3-10 series."""
+    The series is numbered: place 2k is 10^k, place 2k + 1 is 3 * 10^k.  A value takes the place that its leading digits give
+    it and moves by one.
+    """
     x = col(c)
-    scale = F.pow(F.lit(10.0), F.floor(F.log10(x)))
-    m = x / scale
-    cand = F.when(m >= 7.0, 3.0 * scale).when(m >= 2.0, scale).otherwise(3.0 * scale / 10.0)
-    cand = F.when(cand >= x, x / 3.0).otherwise(cand)
-    return F.greatest(cand, F.lit(float(floor))) if floor is not None else cand
+    decade = F.floor(F.log10(x))
+    lead = x / F.pow(F.lit(10.0), decade)
+    place = 2 * decade + sum((lead >= F.lit(cut)).cast("int") for cut in SERIES_CUTS[step]) + step
+    value = F.pow(F.lit(10.0), F.floor(place / 2)) * F.when(F.pmod(place, F.lit(2)) == 0, 1.0).otherwise(3.0)
+    if limit is None:
+        return value
+    return F.least(value, F.lit(float(limit))) if step > 0 else F.greatest(value, F.lit(float(limit)))
 
 
 def join_reasons(reasons: list[Column], separator: str = ";") -> Column:

@@ -159,8 +159,9 @@ def sample_summary(
         over_valid("freq", 0.0).alias("input_frequency_sum"),
     )
     ratios = with_source(per_sample, source).withColumns({
-        "frequency_norm_sum": F.when(F.col("frequency_sum") > 0, F.lit(1.0)).otherwise(F.lit(0.0)),
-        "read_fraction_sum": F.when(F.col("total_reads_valid_nt") > 0, F.lit(1.0)).otherwise(F.lit(0.0)),
+        # what the normalised values sum to: not a number if a frequency is infinite, and the verdict tells
+        "frequency_norm_sum": F.when(F.col("frequency_sum") > 0, F.col("frequency_sum") / F.col("frequency_sum")).otherwise(F.lit(0.0)),
+        "read_fraction_sum": F.when(F.col("total_reads_valid_nt") > 0, F.col("total_reads_valid_nt") / F.col("total_reads_valid_nt")).otherwise(F.lit(0.0)),
         "valid_nt_row_ratio": safe_ratio("valid_nt_rows", "input_nt_rows"),
         "valid_read_ratio": safe_ratio("total_reads_valid_nt", "total_reads_all_nt"),
         "aa_clone_reduction_ratio": safe_ratio("aa_clone_number", "unique_valid_nt_clones"),

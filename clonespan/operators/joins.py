@@ -17,14 +17,14 @@ def key_counts(df: DataFrame, key: list[str]) -> DataFrame:
 def checked_left_join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Left join that stops the job when a key repeats on the right or a left row finds no partner.
 
-    The right side is folded to one row per key with its row count; the check runs inside the join, not as an extra job.
+    Only the keys of the right side are counted, whatever it carries; the check runs inside the join, not as an extra job.
     """
     payload = [c for c in right.columns if c not in key]
     clash = sorted(set(payload) & set(left.columns))
     if clash:
         raise ValueError(f"columns on both sides: {clash}")
-    folded = right.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), *[F.first(c).alias(c) for c in payload])
-    joined = left.join(folded, key, "left")
+    counts = right.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"))
+    joined = left.join(counts, key, "left").join(right, key, "left")
     verdict = (
         F.when(F.col("_rows").isNull(), F.raise_error(F.concat(F.lit("no partner for key "), F.concat_ws(",", *key))))
         .when(F.col("_rows") > 1, F.raise_error(F.concat(F.lit("repeated key "), F.concat_ws(",", *key))))

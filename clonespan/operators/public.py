@@ -234,10 +234,12 @@ def _overlap_columns(prefixes: dict[str, str], clones: Column) -> list[Column]:
 
 def overlap_features(
     cells: DataFrame, reference: DataFrame, sample_keys: list[str] = [], reference_keys: list[str] = [],
-    prefixes: dict[str, str] | None = None, extra: list[str] = [],
+    prefixes: dict[str, str] | None = None, extra: list[str] = [], clones: DataFrame | None = None,
 ) -> DataFrame:
     """Overlap of every sample with every set: clone number, share of clones, frequency sum, share of the set.
 
+    `clones` has the clone numbers per sample when `cells` are not all of a sample's.
+
     Only clones of some set are joined, so the singletons that fill a repertoire never meet the join; samples without any
     hit come back through the clone counts.
     """
@@ -246,7 +248,8 @@ def overlap_features(
     per_sample = hits.groupBy(*sample_keys, "sample_id").agg(
         *[count_if(F.col(s)).alias(f"hit_{s}") for s in names], *[sum_if(F.col(s), "frequency_norm").alias(f"mass_{s}") for s in names]
     )
-    clones = cells.groupBy(*sample_keys, "sample_id", *extra).agg(F.count(F.lit(1)).alias("aa_clone_number"))
+    if clones is None:
+        clones = cells.groupBy(*sample_keys, "sample_id", *extra).agg(F.count(F.lit(1)).alias("aa_clone_number"))
     joined = clones.join(per_sample, [*sample_keys, "sample_id"], "left")
     sizes = set_sizes(reference, reference_keys, list(names))
     joined = joined.join(sizes, reference_keys, "left") if reference_keys else attach_totals(joined, sizes, [])
@@ -285,6 +288,19 @@ def application_log(features: DataFrame, keys: list[str] = []) -> DataFrame:
 
 # -- leave-one-out and cross-fitting -----------------------------------------------------------------------------------
 
+def pruned(cells: DataFrame, keys: list[str], scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """(cells of clones that enough samples hold to enter a set of any part of them, clone numbers per sample of all cells).
+
+    Counts in a part never exceed those in the whole, so this may come before the cells are repeated for tasks and folds.
+    """
+    own = [k for k in keys if k in cells.columns]
+    smallest = min(scheme.global_min_count, scheme.group_min_count)
+    numbers = clone_numbers(cells, own)
+    if smallest <= 1:
+        return cells, numbers
+    return cells.join(candidates(cells, own, smallest).select(*own, "cdr3_aa"), [*own, "cdr3_aa"], "left_semi"), numbers
+
+
 def leave_one_out(
     cells: DataFrame, meta: DataFrame, keys: list[str] = [], scheme: Scheme = MAIN, cohorts: tuple[str, str] = COHORTS,
     counts: DataFrame | None = None,
@@ -296,7 +312,8 @@ def leave_one_out(
     on the full counts, and corrected over the sample's own clones.
     """
     sizes = cohort_sizes(meta, keys, cohorts)
-    labelled = with_cohort(cells, meta, keys)
+    shared, numbers = pruned(cells, keys, scheme)
+    labelled = with_cohort(shared, meta, keys)
     all_counts = presence_counts(labelled, keys, cohorts) if counts is None else counts
     smallest = min(scheme.global_min_count, scheme.group_min_count)
     kept = all_counts.filter(F.col("neg_count") + F.col("pos_count") >= smallest).select(*keys, "cdr3_aa", "neg_count", "pos_count")
@@ -323,7 +340,7 @@ def leave_one_out(
         *[sum_if(with_own[s], "frequency_norm").alias(f"mass_{s}") for s in MODEL_SETS],
         *[(count_if(with_own[s]) - count_if(without[s])).alias(f"shift_{s}") for s in MODEL_SETS],
     )
-    clones = labelled.groupBy(*keys, "sample_id", "cohort").agg(F.count(F.lit(1)).alias("aa_clone_number"))
+    clones = with_cohort(numbers, meta, keys).select(*keys, "sample_id", "cohort", "aa_clone_number")
     joined = attach_totals(attach_totals(clones.join(per_sample, [*keys, "sample_id"], "left"), base, keys), sizes, keys)
     size = {s: F.when(is_neg, F.col(f"base_neg_{s}")).otherwise(F.col(f"base_pos_{s}")) + F.coalesce(F.col(f"shift_{s}"), F.lit(0)) for s in MODEL_SETS}
     sized = joined.select("*", *[c.alias(f"size_{s}") for s, c in size.items()])
@@ -385,10 +402,13 @@ def crossfit(
 ) -> DataFrame:
     """Every sample scored on the reference of the other folds; `folds` has (keys, sample_id, cohort, fold)."""
     on = [c for c in keys if c in cells.columns] + ["sample_id"]
-    labelled = cells.join(folds.select(*keys, "sample_id", "cohort", F.col(fold).cast("int").alias(fold)), on)
+    placed = folds.select(*keys, "sample_id", "cohort", F.col(fold).cast("int").alias(fold))
+    shared, numbers = pruned(cells, keys, scheme)
+    labelled = shared.join(placed, on)
+    clones = numbers.join(placed, on).select(*keys, fold, "sample_id", "aa_clone_number")
     counts = training_counts(labelled, keys, fold, k, cohorts)
     reference = reference_table(counts, training_sizes(folds, keys, fold, k, cohorts), [*keys, fold], scheme)
-    f = overlap_features(labelled, reference, [*keys, fold], [*keys, fold], model_prefixes(cohorts))
+    f = overlap_features(labelled, reference, [*keys, fold], [*keys, fold], model_prefixes(cohorts), clones=clones)
     return with_log_ratio(f.na.fill(0.0), [*keys, fold, "sample_id"], cohorts)
 
 

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.scalars import col
 
 LEVEL = "_level"
-SLICES = 1024
 
 
-def unit_level(c: str | Column, slices: int = SLICES) -> Column:
-    """Slice of a value in [0, 1]."""
-    return F.floor(F.least(F.greatest(col(c), F.lit(0.0)), F.lit(1.0)) * slices)
+def unit_level(c: str | Column, per_octave: int = 64) -> Column:
+    """Slice of a value in [0, 1], monotone in it: fine on a log scale towards 0 and towards 1, where rare-event scores crowd."""
+    x = F.least(F.greatest(col(c), F.lit(0.0)), F.lit(1.0))
+    low = F.floor((F.log2(F.greatest(x, F.lit(2.0**-60))) + 61.0) * per_octave)
+    high = F.floor((-F.log2(F.greatest(1.0 - x, F.lit(2.0**-60))) + 61.0) * per_octave)
+    return F.when(x < 0.5, low).otherwise(high)
 
 
 def small_share_level(c: str | Column, per_octave: int = 64) -> Column:
@@ -28,10 +30,11 @@ def small_share_level(c: str | Column, per_octave: int = 64) -> Column:
 
 
 def attach_totals(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
-    """Add the columns of a per-key table; without keys the table has one row and is read as scalar subqueries."""
+    """Add the columns of a per-key table; without keys the table has one row and is read as one scalar subquery of a struct."""
     if keys:
         return df.join(totals, keys)
-    return df.select("*", *[totals.select(c).scalar().alias(c) for c in totals.columns])
+    row = totals.select(F.struct(*totals.columns).alias("_totals")).scalar()
+    return df.select("*", F.inline(F.array(row)))
 
 
 def running_totals(

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import THRESHOLD_EDGES, count_if, fixed_precision_text, join_reasons, next_grid_value_down, next_grid_value_up, threshold_bin
+from ..functions.scalars import THRESHOLD_EDGES, count_if, fixed_precision_text, join_reasons, series_step, threshold_bin
 from .joins import compare_with_tolerance
 
 INTERCEPT = "__INTERCEPT__"
@@ -163,8 +163,8 @@ def grid_recommendation(
 
     warn = {c: F.col(c) >= boundary for c in ("alpha_lower", "alpha_upper", "lambda_lower", "lambda_upper")}
     low_a, high_a = F.lit(min(alpha_grid)), max(alpha_grid)
-    more_alpha = grid(alpha_grid, F.when(warn["alpha_lower"] & (low_a > 0.01), next_grid_value_down(low_a, 0.01)), F.when(warn["alpha_upper"] & F.lit(high_a < 1.0), F.lit(1.0)))
-    more_lambda = grid(lambda_grid, F.when(warn["lambda_lower"], next_grid_value_down(F.lit(float(min(lambda_grid))), 1e-6)), F.when(warn["lambda_upper"], next_grid_value_up(F.lit(float(max(lambda_grid))))))
+    more_alpha = grid(alpha_grid, F.when(warn["alpha_lower"] & (low_a > 0.01), series_step(low_a, -1, 0.01)), F.when(warn["alpha_upper"] & F.lit(high_a < 1.0), F.lit(1.0)))
+    more_lambda = grid(lambda_grid, F.when(warn["lambda_lower"], series_step(F.lit(float(min(lambda_grid))), -1, 1e-6)), F.when(warn["lambda_upper"], series_step(F.lit(float(max(lambda_grid))), 1)))
     return joined.select(
         "*", *[c.alias(f"{n}_boundary_warning") for n, c in warn.items()],
         F.when(F.col("alpha_ge_0_8_selection_frequency") >= 0.5, "strongly_sparse_leaning").when(F.col("alpha_weighted_mean") >= 0.6, "moderately_sparse_leaning").otherwise("mixed_penalty").alias("alpha_pattern"),

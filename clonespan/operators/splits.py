@@ -203,15 +203,23 @@ def best_distinct(assigned: DataFrame, keys: list[str], k: int, take: int = 1, d
 def outer_schedule(
     rows: DataFrame, k: int, repeats: int, candidates: int, seed: int = 1, label: str = "cohort", id_col: str = "sample_id"
 ) -> DataFrame:
-    """Repeated outer folds: the r-th best distinct candidate becomes repeat r.
+    """Repeated outer folds: every repeat has its own candidates, and takes the best one whose partition no earlier repeat has.
 
-    Only the chosen candidates are dealt again, so the wide candidate table is read once, for its scores.
+    If all its partitions are taken already, the repeat takes its best candidate all the same, and `schedule_violations` tells.
+    Scores and fingerprints (repeats x candidates rows) decide on the driver; only the chosen candidates are dealt again.
     """
-    pool = fold_candidates(rows, [], k, candidates, seed, label, id_col)
-    chosen = best_distinct(pool, [], k, repeats).select("candidate", F.col("repeat").alias("outer_repeat")).collect()
-    picks = F.array(*[F.struct(F.lit(r.candidate).alias("candidate"), F.lit(r.outer_repeat).alias("outer_repeat")) for r in chosen])
-    picked = rows.select("*", F.inline(picks))
-    return deal(picked, [], k, seed, label, id_col).drop("candidate").withColumnRenamed("fold", "outer_fold")
+    keys = ["outer_repeat"]
+    wide = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("outer_repeat"))
+    scored = fold_scores(fold_candidates(wide, keys, k, candidates, seed, label, id_col), [*keys, "candidate"], k, label=label, id_col=id_col)
+    ranked = scored.select("outer_repeat", F.round("score", 9).alias("s"), "candidate", "sig_a", "sig_b").collect()
+    picks, used = [], set()
+    for r in range(1, repeats + 1):
+        own = sorted((x.s, x.candidate, (x.sig_a, x.sig_b)) for x in ranked if x.outer_repeat == r)
+        _, candidate, partition = next((x for x in own if x[2] not in used), own[0])
+        used.add(partition)
+        picks.append(F.struct(F.lit(r).alias("outer_repeat"), F.lit(candidate).alias("candidate")))
+    picked = rows.select("*", F.inline(F.array(*picks)))
+    return deal(picked, keys, k, seed, label, id_col).drop("candidate").withColumnRenamed("fold", "outer_fold")
 
 
 def outer_tasks(outer: DataFrame, k: int) -> DataFrame:

@@ -27,13 +27,19 @@ def reference_subsamples(meta: DataFrame, iterations: int, fraction: float = 0.8
     return placed.withColumn("role", role).drop("_n", "_h", "position")
 
 
-def iteration_counts(labelled: DataFrame, splits: DataFrame, iterations: int, cohorts: tuple[str, str] = COHORTS) -> DataFrame:
-    """(iteration, clone) reference counts next to the full counts.
+def iteration_counts(labelled: DataFrame, splits: DataFrame, iterations: int, cohorts: tuple[str, str] = COHORTS, min_count: int = 1) -> DataFrame:
+    """(iteration, clone) reference counts next to the full counts, of clones in `min_count` samples or more.
+
+    With the smallest minimum of the schemes nothing that can enter a set is lost, for a subsample never exceeds the full
+    counts; the filter stands before the clones are spread over iterations.
 
     Reference count = full count - held-out count: only the held-out fifth of the incidences is spread over iterations.
     A clone gathers at most one entry per iteration.
     """
     full = presence_counts(labelled, [], cohorts).select("cdr3_aa", F.col("neg_count").alias("full_neg"), F.col("pos_count").alias("full_pos"))
+    full = full.filter(F.col("full_neg") + F.col("full_pos") >= min_count)
+    if min_count > 1:
+        labelled = labelled.join(full.select("cdr3_aa"), "cdr3_aa", "left_semi")
     held = splits.filter("role = 'held_out'").select("iteration", "sample_id")
     out = labelled.join(held, "sample_id").groupBy("cdr3_aa", "iteration").agg(
         count_if(F.col("cohort") == cohorts[0]).alias("h_neg"), count_if(F.col("cohort") == cohorts[1]).alias("h_pos"))

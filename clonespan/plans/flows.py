@@ -39,7 +39,7 @@ def clone_tables_from_files(spark: SparkSession, path: str, suffix: str, has_hea
 
 
 def sample_features(
-    clones: DataFrame, summary: DataFrame, vocabulary: DataFrame | None = None, max_kmers: int = 500, key: str = "sample_id", **limits
+    clones: DataFrame, summary: DataFrame, vocabulary: DataFrame | None = None, max_kmers: int = 0, key: str = "sample_id", **limits
 ) -> dict[str, DataFrame]:
     """Core features, vocabulary and merged matrix.  Test mode passes the training vocabulary, which is then frozen."""
     core = X.core_table(clones, summary, [key])
@@ -58,7 +58,8 @@ def threshold_stability(
     """Repeated subsampling of the reference samples and its summaries."""
     splits = materialize(B.reference_subsamples(meta, iterations, fraction, seed))
     labelled = P.with_cohort(cells, meta).join(meta.select("sample_id", "batch"), "sample_id")
-    flags = B.iteration_flags(B.iteration_counts(labelled, splits, iterations), splits, meta, schemes)
+    smallest = min(min(s.global_min_count, s.group_min_count) for s in schemes)
+    flags = B.iteration_flags(B.iteration_counts(labelled, splits, iterations, min_count=smallest), splits, meta, schemes)
     table = materialize(B.iteration_table(flags, splits, schemes))
     held = materialize(B.held_out_features(labelled, flags, splits, schemes))
     per_sample = B.sample_stability(held)

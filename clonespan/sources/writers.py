@@ -26,8 +26,9 @@ def write_clone_table(df: DataFrame, path: str, overwrite: bool = False) -> None
 
 
 def write_incidence(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Long incidence table clustered by clone, the key of its later joins."""
-    write_table(df.repartition("cdr3_aa").sortWithinPartitions("cdr3_aa", "sample_id"), path, overwrite)
+    """Long incidence table clustered by clone, the key of its later joins; a clone of very many samples spreads over files."""
+    key = ["cdr3_aa", "sample_id"]
+    write_table(df.repartitionByRange(*key).sortWithinPartitions(*key), path, overwrite)
 
 
 def write_catalog(catalog: DataFrame, path: str, overwrite: bool = False) -> None:
