@@ -394,9 +394,9 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10)
 def one_per_group(docs: DataFrame, **options) -> DataFrame:
     """`docs` less every document that has a similar one, directly or through others, with a smaller doc_id; null ids all stay.
 
-    Rows that share the smallest doc_id of their group stay together.
+    Rows that share a doc_id stay or go together; they go if each of them has a smaller one.
     """
-    groups = similar_groups(docs, **options).select("doc_id", "component_id")
-    lost = saved(groups.filter("component_id < doc_id").select("doc_id").distinct())
+    groups = similar_groups(docs, **options).filter("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("component_id"))
+    lost = saved(groups.filter("component_id < doc_id").select("doc_id"))
     kept = docs.join(lost, "doc_id", "left_anti")
     return kept.select(*docs.columns)

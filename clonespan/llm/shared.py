@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,34 +46,59 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
 
+def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node) of the components of an edge list in memory, without the smallest nodes themselves."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        for end in (u, v):
+            np.minimum.at(new, label[end], low)
+            np.minimum.at(new, end, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    inner = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[inner], nodes[label[inner]]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """Connected components of an undirected edge list: (node, component), component = smallest node.
+    """Connected components of an undirected edge list of bigint or string nodes: (node, component), component = smallest node.
 
-    Large-star / small-star rounds (Kiveris et al., 2014) as joins, each written to the shared folder.  A node with very many
-    neighbours is only ever aggregated with map-side combine and joined (Spark splits skewed joins).  Nodes without edges do not
-    occur; null ends are dropped.  Raises if `rounds` do not suffice (the rounds grow with the logarithm of the longest path).
+    Every round first replaces the edges of each task by a star per component that they form there, then hooks and jumps:
+    a node goes to the smallest end that any task found for it, the other ends become edges to that one, and nodes move on to
+    where their new end has gone.  Nodes with very many neighbours are only aggregated with map-side combine, or stand on the
+    side of a join that Spark can split.  Each round is written to the shared folder.  Nodes without edges do not occur; null
+    ends are dropped.  Raises if `rounds` do not suffice.
     """
-    e = saved(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
-    )
-
-    def star(pairs: DataFrame, keep_larger: bool) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = pairs.join(least, "u")
-        if keep_larger:
-            return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
-
-    before = None
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).filter("u <> v")
+    kind = e.schema["u"].dataType.simpleString()
+
+    def forest(batches):
+        parts = [x for x in batches if x.num_rows]
+        if parts:
+            u, v = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in parts]) for c in ("u", "v"))
+            u, v = local_forest(u, v)
+            for i in range(0, len(u), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 100_000]), pa.array(v[i : i + 100_000])], names=["u", "v"])
+
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both, True).filter("u <> v").distinct()
-        small = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        e = saved(star(small, False).filter("u <> v").distinct())
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = state
+        # partitions of even size: a small graph fits one, a large one has many
+        e = saved(e.hint("rebalance").mapInArrow(forest, f"u {kind}, v {kind}"))
+        up = saved(e.groupBy("u").agg(F.min("v").alias("p"), F.max("v").alias("q")))
+        # done if every node has one end, and no end has one itself
+        tops = up.select(F.col("p").alias("x")).distinct()
+        deep = up.filter("p <> q").isEmpty() and up.join(tops, up["u"] == tops["x"], "left_semi").isEmpty()
+        if deep:
+            return up.select(F.col("u").alias("node"), F.col("p").alias("component")).unionByName(tops.select(F.col("x").alias("node"), F.col("x").alias("component")))
+        further = up.select(F.col("u").alias("x"), F.col("p").alias("pp"))
+        jumped = up.join(further, up["p"] == further["x"], "left").select("u", F.coalesce("pp", "p").alias("v"))
+        several = up.filter("p <> q").select(F.col("u").alias("x"), "p")
+        rest = e.join(several, e["u"] == several["x"]).filter("v <> p").select(F.col("v").alias("u"), F.col("p").alias("v"))
+        # an edge to the jumped-over end stays implied: that end's own edge is among the rows
+        e = jumped.unionByName(rest)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
