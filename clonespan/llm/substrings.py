@@ -5,8 +5,9 @@
    whatever stands around them.
 2. Edges that several documents hold are kept.  Paths of kept edges without branches are compacted by joins: the edges of such
    a path are one component.
-3. A document's stretches along compacted paths give source coordinates.  The windows around them are compared by the hash of
-   their whole word sequence: those that a smaller document holds as well are removed.
+3. A document's stretches along compacted paths have coordinates in the smallest document that holds their edges.  Where the
+   coordinates run along together, all windows inside are removed.  A window whose own edges are not all shared stays.  Only
+   windows that this leaves open, and their possible sources, are compared by the hash of their whole word sequence.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .shared import components, saved, text_of
 from .tokens import Words, bloom_has, bloom_of, pieces, ranges_hash
 
 #: Words of a window, of a k-mer, and text bytes that one bucket is sized for.
-WINDOW, KMER, BUCKET_TEXT = 50, 8, 20 << 20
+WINDOW, KMER, BUCKET_TEXT = 50, 8, 8 << 20
 
 
 def sliding(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -61,22 +62,30 @@ def edges_of(w: Words, window: int) -> dict[str, np.ndarray]:
 
 
 def _packed(bucket: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """64-bit columns dealt to buckets: (bucket numbers, one byte string each with the columns one after the other)."""
+    """Columns dealt to buckets: (bucket numbers, one byte string each with the columns one after the other)."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     parts = np.split(order, cuts) if len(order) else []
-    return [int(bucket[p[0]]) for p in parts], [np.stack([c[p].view(np.uint64) for c in columns]).tobytes() for p in parts]
+    return [int(bucket[p[0]]) for p in parts], [b"".join(c[p].tobytes() for c in columns) for p in parts]
 
 
-def _unpacked(blobs: list[bytes], n_columns: int) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, np.uint64).reshape(n_columns, -1) for x in blobs], axis=1)
+def _unpacked(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    parts = []
+    for x in blobs:
+        n, at, columns = len(x) // width, 0, []
+        for k in kinds:
+            columns.append(np.frombuffer(x, k, n, at))
+            at += n * np.dtype(k).itemsize
+        parts.append(columns)
+    return [np.concatenate(c) for c in zip(*parts)]
 
 
 def _bucket(h: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
 
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("dig", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("bucket", pa.int64()), ("blob", pa.binary())])
+_FIRST = pa.schema([("doc_id", pa.int64()), ("dig", pa.int32()), ("n_words", pa.int64()), ("sha", pa.string()), ("bucket", pa.int64()), ("blob", pa.binary())])
 
 
 def _first_pass(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
@@ -95,40 +104,41 @@ def _first_pass(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
                 e = edges_of(w, window)
                 known = ids[own].is_valid().to_numpy(zero_copy_only=False)[e["doc"]]
                 doc = ids[own].fill_null(0).to_numpy()[e["doc"]][known]
-                edge = e["edge"][known]
-                order = np.lexsort((doc, edge))
-                edge, doc = edge[order], doc[order]
+                edge, pos = e["edge"][known], e["pos"][known].astype(np.int32)
+                order = np.lexsort((pos, doc, edge))
+                edge, doc, pos = edge[order], doc[order], pos[order]
                 heads = np.concatenate(([True], edge[1:] != edge[:-1])) if len(edge) else np.zeros(0, bool)
                 tails = np.concatenate((heads[1:], [True])) if len(edge) else heads
                 twice = tails & ~heads
                 twice[twice] = doc[twice] != doc[heads][np.cumsum(heads)[twice] - 1]
                 keep = heads | twice
-                numbers, blobs = _packed(_bucket(edge[keep], n_buckets), edge[keep], doc[keep])
+                numbers, blobs = _packed(_bucket(edge[keep], n_buckets), edge[keep], doc[keep], pos[keep])
                 if blobs:
                     yield rows(len(blobs), bucket=pa.array(numbers, pa.int64()), blob=pa.array(blobs, pa.binary()))
 
-    return texts.mapInArrow(run, "doc_id bigint, dig bigint, n_words bigint, sha string, bucket bigint, blob binary")
+    return texts.mapInArrow(run, "doc_id bigint, dig int, n_words bigint, sha string, bucket bigint, blob binary")
 
 
 def _shared_edges(packed: DataFrame, n_buckets: int) -> DataFrame:
-    """The edges that two documents or more hold."""
+    """The edges that two documents or more hold, and where the smallest of them has them first: (edge, source, source_pos)."""
 
     def run(batches):
         blobs = [x for b in batches for x in b.column("blob").to_pylist()]
         if blobs:
-            edge, doc = _unpacked(blobs, 2)
-            order = np.argsort(edge, kind="stable")
-            edge, doc = edge[order], doc[order].view(np.int64)
+            edge, doc, pos = _unpacked(blobs, "u8", "i8", "i4")
+            order = np.lexsort((pos, doc, edge))
+            edge, doc, pos = edge[order], doc[order], pos[order]
             heads = np.flatnonzero(np.concatenate(([True], edge[1:] != edge[:-1])))
-            several = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
-            yield pa.RecordBatch.from_arrays([pa.array(edge[heads][several].view(np.int64))], names=["edge"])
+            several = doc[heads] != doc[np.concatenate((heads[1:], [len(edge)])) - 1]
+            at = heads[several]
+            yield pa.RecordBatch.from_arrays([pa.array(edge[at].view(np.int64)), pa.array(doc[at]), pa.array(pos[at])], names=["edge", "source", "source_pos"])
 
-    return packed.repartition(n_buckets, "bucket").select("blob").mapInArrow(run, "edge bigint")
+    return packed.repartition(n_buckets, "bucket").select("blob").mapInArrow(run, "edge bigint, source bigint, source_pos int")
 
 
 def _occurrences(texts: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """Where documents hold shared edges: (doc_id, dig, pos, length, edge, src, dst)."""
-    held = texts.sparkSession.sparkContext.broadcast(bloom_of(shared))
+    """Where documents hold shared edges: (doc_id, dig, pos, length, edge, src, dst, source, source_pos)."""
+    held = texts.sparkSession.sparkContext.broadcast(bloom_of(shared.select("edge")))
     names = ["doc_id", "dig", "pos", "length", "edge", "src", "dst"]
 
     def run(batches):
@@ -138,11 +148,12 @@ def _occurrences(texts: DataFrame, shared: DataFrame, window: int) -> DataFrame:
                 e = edges_of(w, window)
                 ok = bloom_has(held.value, e["edge"])
                 row = pa.array(e["doc"][ok] + w.rows.start)
-                numbers = [pa.array(e[c][ok].astype(np.int64)) for c in ("pos", "length")] + [pa.array(e[c][ok].view(np.int64)) for c in ("edge", "src", "dst")]
+                numbers = [pa.array(e[c][ok].astype(np.int32)) for c in ("pos", "length")] + [pa.array(e[c][ok].view(np.int64)) for c in ("edge", "src", "dst")]
                 yield pa.RecordBatch.from_arrays([ids.take(row), dig.take(row), *numbers], names=names)
 
-    found = texts.filter("doc_id is not null").mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
-    return found.join(shared, "edge", "left_semi")
+    kinds = dict.fromkeys(names, "bigint") | {"dig": "int", "pos": "int", "length": "int"}
+    found = texts.filter("doc_id is not null").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    return found.join(shared, "edge")
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -155,13 +166,19 @@ def compacted(edges: DataFrame) -> DataFrame:
 
 
 def stretches(occurrences: DataFrame) -> DataFrame:
-    """Source coordinates: per document and unbroken run along one path, the first edge's end `lo` and the last one's start `hi`."""
+    """Source coordinates: (doc_id, dig, start, end, own) of unbroken runs of shared edges along one path that run along
+    together in one source; `own`: the document is the source itself."""
     edges = occurrences.select("edge", "src", "dst").distinct()
-    placed = occurrences.join(compacted(saved(edges)), "edge")
+    placed = occurrences.select("doc_id", "dig", "pos", "length", "edge", "source", "source_pos").join(compacted(saved(edges)), "edge").drop("edge")
     in_order = W.partitionBy("doc_id", "dig").orderBy("pos")
-    follows = (F.lag(F.col("pos") + F.col("length") - KMER).over(in_order) == F.col("pos")) & (F.lag("path").over(in_order) == F.col("path"))
+    before = lambda c: F.lag(c).over(in_order)
+    follows = (
+        (before(F.col("pos") + F.col("length") - KMER) == F.col("pos")) & (before("path") == F.col("path")) & (before("source") == F.col("source"))
+        & (F.col("source_pos") - before("source_pos") == F.col("pos") - before("pos"))
+    )
     runs = placed.withColumn("new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(in_order))
-    return runs.groupBy("doc_id", "dig", "run").agg(F.min(F.col("pos") + F.col("length")).alias("lo"), F.max("pos").alias("hi"))
+    ends = F.max(F.col("pos") + F.col("length"))
+    return runs.groupBy("doc_id", "dig", "run").agg(F.min("pos").alias("start"), ends.alias("end"), F.min(F.col("source") == F.col("doc_id")).alias("own"))
 
 
 def _texts_with(texts: DataFrame, rows: DataFrame) -> DataFrame:
@@ -172,103 +189,137 @@ def _texts_with(texts: DataFrame, rows: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(bloom_has(held.value, b.column("doc_id").to_numpy().view(np.uint64))))
 
-    passed = texts.filter("doc_id is not null").mapInArrow(run, "doc_id bigint, dig bigint, text binary")
+    passed = texts.filter("doc_id is not null").mapInArrow(run, "doc_id bigint, dig int, text binary")
     return passed.dropDuplicates(["doc_id", "dig"]).join(rows, ["doc_id", "dig"])
 
 
-_SECOND = pa.schema([("doc_id", pa.int64()), ("dig", pa.int64()), ("at", pa.binary()), ("bucket", pa.int64()), ("blob", pa.binary())])
+_SECOND = pa.schema([("doc_id", pa.int64()), ("dig", pa.int32()), ("at", pa.binary()), ("bucket", pa.int64()), ("blob", pa.binary())])
+
+
+def _covers(size: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which of 0..size-1 lie in one of the intervals lo..hi (both included)."""
+    lo, hi = np.maximum(lo, 0), np.minimum(hi, size - 1)
+    some = lo <= hi
+    return np.cumsum(np.bincount(lo[some], minlength=size + 1) - np.bincount(hi[some] + 1, minlength=size + 1))[:size] > 0
+
+
+def _choices(w: Words, window: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The edges of a piece, and for each the first and last window (by its first word) that chooses both its anchors by itself."""
+    at, h = w.windows(KMER)
+    e, reach, spare = edges_of(w, window), (window - KMER + 1) // 2, window - KMER + 1 - (window - KMER + 1) // 2
+    if not len(e["doc"]):
+        return e, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = sliding(h, reach, np.minimum)
+    least[w.doc[at[: len(least)]] != w.doc[at[reach - 1 :]]] = 0
+    low, high = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+    for d in range(reach):  # runs in which the k-mer d places on is smallest
+        j = np.flatnonzero(h[d : d + len(least)] == least)
+        low[j + d] = j
+    for d in reversed(range(reach)):
+        j = np.flatnonzero(h[d : d + len(least)] == least)
+        high[j + d] = j
+    place = np.full(len(w.hash), -1, np.int64)
+    place[at] = np.arange(len(at))
+    first = w.first[e["doc"]] + e["pos"]
+    second = first + e["length"] - KMER
+    return e, at[low[place[second]]] - spare, at[high[place[first]]]
 
 
 def _window_pass(found: DataFrame, window: int, n_buckets: int) -> DataFrame:
-    """Windows around the stretches of (doc_id, dig, text, spans).  Windows that a smaller document of the same piece holds are
-    decided (`at`: their starts); of the others the piece's smallest document goes to the window's bucket."""
+    """Verdicts on windows of (doc_id, dig, text, spans).
+
+    Decided (`at`: pairs of first and last window start): windows inside a stretch of another source, and those that a smaller
+    document of the same piece holds.  A window with an edge of its own choice that is not shared stays.  Of the other open
+    windows the piece's smallest document goes to the window's bucket.
+    """
 
     def run(batches):
         for batch in batches:
             ids, digs, spans = batch.column("doc_id").to_numpy(), batch.column("dig").to_numpy(), batch.column("spans")
             for w in pieces(batch.column("text"), lower=False):
-                starts, docs = [], []
+                e, low, high = _choices(w, window)
+                edge_first = np.searchsorted(e["doc"], np.arange(len(w.count) + 1))
+                starts, docs, sure = [], [], {}
                 for i, row in enumerate(range(w.rows.start, w.rows.stop)):
-                    last = w.count[i] - window
-                    mark = np.zeros(last + 2, np.int64)
-                    inner = spans[row].values
-                    lo = np.maximum(inner.field("lo").to_numpy() - window, 0)
-                    hi = np.minimum(inner.field("hi").to_numpy(), last)
-                    some = lo <= hi
-                    np.add.at(mark, lo[some], 1)
-                    np.add.at(mark, hi[some] + 1, -1)
-                    own = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-                    starts.append(own + w.first[i])
-                    docs.append(np.full(len(own), i))
+                    size, inner, mine = int(w.count[i]) - window + 1, spans[row].values, slice(edge_first[i], edge_first[i + 1])
+                    start, end, own = (inner.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "own"))
+                    other = ~own.astype(bool) & (end - start >= window)
+                    if other.any():
+                        sure[row] = np.stack([start[other], end[other] - window], axis=1)
+                    removed = _covers(size, start[other], end[other] - window)
+                    order = np.argsort(start)
+                    pos, upto = e["pos"][mine], e["pos"][mine] + e["length"][mine]
+                    k = np.searchsorted(start[order], pos, "right") - 1
+                    lone = (k < 0) | (end[order][np.maximum(k, 0)] < upto)
+                    stays = _covers(size, low[mine][lone] - w.first[i], high[mine][lone] - w.first[i])
+                    open_ = np.flatnonzero(~removed & ~stays)
+                    starts.append(open_ + w.first[i])
+                    docs.append(np.full(len(open_), i))
                 start, doc = np.concatenate(starts), np.concatenate(docs)
-                if not len(start):
-                    continue
                 h, check = ranges_hash(w.hash, start, start + window), ranges_hash(w.hash ^ np.uint64(0x5DEECE66D), start, start + window)
                 row = doc + w.rows.start
                 order = np.lexsort((ids[row], check, h))
-                h, check, row, start, doc = h[order], check[order], row[order], start[order], doc[order]
-                new = np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
-                smallest = ids[row[np.flatnonzero(new)]][np.cumsum(new) - 1]
-                gone, place = ids[row] != smallest, start - w.first[doc]
-                which, at = row[gone], place[gone].astype(np.int32)
-                by = np.argsort(which, kind="stable")
-                cuts = np.flatnonzero(np.diff(which[by])) + 1
-                parts = np.split(by, cuts) if len(by) else []
-                if parts:
-                    r = [int(which[p[0]]) for p in parts]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(digs[r]), pa.array([at[p].tobytes() for p in parts], pa.binary()), pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.binary())], schema=_SECOND)
-                k = ~gone
-                numbers, blobs = _packed(_bucket(h[k], n_buckets), h[k], check[k], ids[row[k]], digs[row[k]], place[k].astype(np.int64))
-                n = len(blobs)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], schema=_SECOND)
-
-    return found.select("doc_id", "dig", "text", "spans").mapInArrow(run, "doc_id bigint, dig bigint, at binary, bucket bigint, blob binary")
+                h, check, row, place = h[order], check[order], row[order], (start - w.first[doc])[order].astype(np.int32)
+                if len(h):
+                    new = np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
+                    gone = ids[row] != ids[row[np.flatnonzero(new)]][np.cumsum(new) - 1]
+                    for r in np.unique(row[gone]):
+                        at = place[gone & (row == r)]
+                        sure[r] = np.concatenate([sure[r], np.stack([at, at], axis=1)]) if r in sure else np.stack([at, at], axis=1)
+                    k = ~gone
+                    numbers, blobs = _packed(_bucket(h[k], n_buckets), h[k], check[k].astype(np.uint32), ids[row[k]], digs[row[k]], place[k])
+                    n = len(blobs)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], schema=_SECOND)
+                if sure:
+                    r = list(sure)
+                    ats = pa.array([x.astype(np.int32).tobytes() for x in sure.values()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(digs[r]), ats, pa.nulls(len(r), pa.int64()), pa.nulls(len(r), pa.binary())], schema=_SECOND)
+
+    return found.select("doc_id", "dig", "text", "spans").mapInArrow(run, "doc_id bigint, dig int, at binary, bucket bigint, blob binary")
 
 
 def _verdicts(packed: DataFrame, n_buckets: int) -> DataFrame:
-    """(doc_id, dig, at): starts of the windows that a smaller document holds as well."""
+    """(doc_id, dig, at): pairs of first and last start of windows that a smaller document holds as well."""
 
     def run(batches):
         blobs = [x for b in batches for x in b.column("blob").to_pylist()]
         if not blobs:
             return
-        h, check, doc, dig, at = _unpacked(blobs, 5)
-        doc, dig, at = doc.view(np.int64), dig.view(np.int64), at.astype(np.int32)
+        h, check, doc, dig, at = _unpacked(blobs, "u8", "u4", "i8", "i4", "i4")
         order = np.lexsort((doc, check, h))
         h, check, doc, dig, at = h[order], check[order], doc[order], dig[order], at[order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (check[1:] != check[:-1])))
         gone = doc != doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         doc, dig, at = doc[gone], dig[gone], at[gone]
-        order = np.lexsort((dig, doc))
+        if not len(doc):
+            return
+        order = np.lexsort((at, dig, doc))
         doc, dig, at = doc[order], dig[order], at[order]
         cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(dig) != 0)) + 1
-        first = np.concatenate(([0], cuts)).astype(np.int64) if len(doc) else np.zeros(0, np.int64)
-        parts = np.split(at, cuts) if len(doc) else []
-        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(dig[first]), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "dig", "at"])
+        first = np.concatenate(([0], cuts))
+        pairs = [np.stack([p, p], axis=1).tobytes() for p in np.split(at, cuts)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(dig[first]), pa.array(pairs, pa.binary())], names=["doc_id", "dig", "at"])
 
-    return packed.repartition(n_buckets, "bucket").select("blob").mapInArrow(run, "doc_id bigint, dig bigint, at binary")
+    return packed.repartition(n_buckets, "bucket").select("blob").mapInArrow(run, "doc_id bigint, dig int, at binary")
 
 
 def _kept(found: DataFrame, window: int) -> DataFrame:
-    """(doc_id, dig, n_removed, sha, text) of the documents that lose words: `at` lists the starts of the windows removed."""
+    """(doc_id, dig, n_removed, sha, text) of the documents that lose words: `at` has pairs of first and last start of windows removed."""
 
     def run(batches):
         for b in batches:
             removed, sha, texts = [], [], []
             for text, lists in zip(b.column("text"), b.column("at")):
                 words = text.as_py().split()
-                mark = np.zeros(len(words) + 1, np.int64)
-                at = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in lists.values]))
-                mark[at] += 1
-                np.add.at(mark, at + window, -1)
-                keep = np.cumsum(mark)[:-1] == 0
+                pairs = np.concatenate([np.frombuffer(x.as_py(), np.int32).reshape(-1, 2) for x in lists.values])
+                keep = ~_covers(len(words), pairs[:, 0], pairs[:, 1] + window - 1)
                 kept = b" ".join([x for x, k in zip(words, keep.tolist()) if k])
                 removed.append(int((~keep).sum()))
                 sha.append(hashlib.sha256(kept).hexdigest())
                 texts.append(kept)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("dig"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.binary())], names=["doc_id", "dig", "n_removed", "sha", "text"])
 
-    return found.mapInArrow(run, "doc_id bigint, dig bigint, n_removed bigint, sha string, text binary")
+    return found.mapInArrow(run, "doc_id bigint, dig int, n_removed bigint, sha string, text binary")
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -276,18 +327,18 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
 
     A window is `window` (at least 2 * KMER) consecutive words of one document.  Every word is removed that lies in a window
     whose word sequence also starts in a document with a smaller doc_id.  Windows are judged on the input.  Words stand between
-    ASCII white space and count as they are; kept words are joined by one space.  dig is the xxhash64 of the input text.
+    ASCII white space and count as they are; kept words are joined by one space.  dig is Spark's 32-bit hash of the input text.
 
     Null or empty text: no words.  Null doc_id: loses nothing and takes nothing from others.  Rows with one doc_id are one
     document and take nothing from each other.  Empty table: no rows.  Other columns are ignored.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0))).first()[0]
     n_buckets = max(8, -(-size // BUCKET_TEXT))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("dig"), text_of().cast("binary").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash(text_of()).alias("dig"), text_of().cast("binary").alias("text"))
     passed = saved(_first_pass(texts, window, n_buckets))
     shared = saved(_shared_edges(passed.filter("blob is not null").select("bucket", "blob"), n_buckets))
     occurrences = saved(_occurrences(texts, shared, window))
-    spans = stretches(occurrences).groupBy("doc_id", "dig").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = stretches(occurrences).groupBy("doc_id", "dig").agg(F.collect_list(F.struct("start", "end", "own")).alias("spans"))
     found = saved(_texts_with(texts, saved(spans)))
     windows = saved(_window_pass(found, window, n_buckets))
     decided = windows.filter("at is not null").select("doc_id", "dig", "at")

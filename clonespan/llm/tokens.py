@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts of a batch are worked on in pieces of about so many bytes (a longer text is a piece of its own).
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Fixed class: ASCII white space.
