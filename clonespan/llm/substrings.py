@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import components, saved, text_of
-from .tokens import Words, bloom_has, bloom_of, pieces, ranges_hash
+from .tokens import Words, bloom_has, bloom_of, mix, pieces, ranges_hash
 
 #: Words of a window, of a k-mer, and text bytes that one bucket is sized for.
 WINDOW, KMER, BUCKET_TEXT = 50, 8, 8 << 20
@@ -111,7 +111,8 @@ def _first_pass(texts: DataFrame, window: int, n_buckets: int) -> DataFrame:
                 tails = np.concatenate((heads[1:], [True])) if len(edge) else heads
                 twice = tails & ~heads
                 twice[twice] = doc[twice] != doc[heads][np.cumsum(heads)[twice] - 1]
-                keep = heads | twice
+                keep = np.flatnonzero(heads | twice)
+                keep = keep[np.lexsort((pos[keep], doc[keep]))]  # ids side by side compress well
                 numbers, blobs = _packed(_bucket(edge[keep], n_buckets), edge[keep], doc[keep], pos[keep])
                 if blobs:
                     yield rows(len(blobs), bucket=pa.array(numbers, pa.int64()), blob=pa.array(blobs, pa.binary()))
@@ -137,7 +138,10 @@ def _shared_edges(packed: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def _occurrences(texts: DataFrame, shared: DataFrame, window: int) -> DataFrame:
-    """Where documents hold shared edges: (doc_id, dig, pos, length, edge, src, dst, source, source_pos)."""
+    """Where documents hold shared edges: (doc_id, dig, pos, length, edge, src, dst, source, source_pos).
+
+    The end anchors src and dst are given where the edge stands first, in its source.
+    """
     held = texts.sparkSession.sparkContext.broadcast(bloom_of(shared.select("edge")))
     names = ["doc_id", "dig", "pos", "length", "edge", "src", "dst"]
 
@@ -153,7 +157,9 @@ def _occurrences(texts: DataFrame, shared: DataFrame, window: int) -> DataFrame:
 
     kinds = dict.fromkeys(names, "bigint") | {"dig": "int", "pos": "int", "length": "int"}
     found = texts.filter("doc_id is not null").mapInArrow(run, ", ".join(f"{c} {k}" for c, k in kinds.items()))
-    return found.join(shared, "edge")
+    joined = found.join(shared, "edge")
+    first = (F.col("doc_id") == F.col("source")) & (F.col("pos") == F.col("source_pos"))  # the graph needs an edge's ends once
+    return joined.withColumns({c: F.when(first, F.col(c)) for c in ("src", "dst")})
 
 
 def compacted(edges: DataFrame) -> DataFrame:
@@ -168,8 +174,8 @@ def compacted(edges: DataFrame) -> DataFrame:
 def stretches(occurrences: DataFrame) -> DataFrame:
     """Source coordinates: (doc_id, dig, start, end, own) of unbroken runs of shared edges along one path that run along
     together in one source; `own`: the document is the source itself."""
-    edges = occurrences.select("edge", "src", "dst").distinct()
-    placed = occurrences.select("doc_id", "dig", "pos", "length", "edge", "source", "source_pos").join(compacted(saved(edges)), "edge").drop("edge")
+    edges = occurrences.filter("src is not null").select("edge", "src", "dst").distinct()
+    placed = occurrences.select("doc_id", "dig", "pos", "length", "edge", "source", "source_pos").join(saved(compacted(saved(edges))), "edge").drop("edge")
     in_order = W.partitionBy("doc_id", "dig").orderBy("pos")
     before = lambda c: F.lag(c).over(in_order)
     follows = (
@@ -266,8 +272,15 @@ def _window_pass(found: DataFrame, window: int, n_buckets: int) -> DataFrame:
                     for r in np.unique(row[gone]):
                         at = place[gone & (row == r)]
                         sure[r] = np.concatenate([sure[r], np.stack([at, at], axis=1)]) if r in sure else np.stack([at, at], axis=1)
-                    k = ~gone
-                    numbers, blobs = _packed(_bucket(h[k], n_buckets), h[k], check[k].astype(np.uint32), ids[row[k]], digs[row[k]], place[k])
+                    k = np.flatnonzero(~gone)
+                    k = k[np.lexsort((place[k], row[k]))]  # ids side by side compress well
+                    # neighbouring windows have the same smallest k-mer, and go to one bucket
+                    kmers, hashes = w.windows(KMER)
+                    smallest = np.zeros(len(w.hash), np.uint64)
+                    least = sliding(hashes, window - KMER + 1, np.minimum)
+                    smallest[kmers[: len(least)]] = least
+                    at = smallest[w.first[row[k] - w.rows.start] + place[k]]
+                    numbers, blobs = _packed(_bucket(mix(at), n_buckets), h[k], check[k].astype(np.uint32), ids[row[k]], digs[row[k]], place[k])
                     n = len(blobs)
                     yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], schema=_SECOND)
                 if sure:
