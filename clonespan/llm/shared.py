@@ -14,6 +14,9 @@ from clonespan.session import ensure_checkpoint_dir
 #: Fixed pattern: what separates words in the contracts of this subpackage.
 SPACES = r"[\x20\x09-\x0D]+"
 
+#: Edges that a task of `components` takes at once.
+FOREST_EDGES = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,7 +72,8 @@ def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list of bigint or string nodes: (node, component), component = smallest node.
 
-    Every round first replaces the edges of each task by a star per component that they form there, then hooks and jumps:
+    Every round first deals the edges that are left over tasks of FOREST_EDGES each, where they are replaced by a star per
+    component that they form there (one task: done); then it hooks and jumps:
     a node goes to the smallest end that any task found for it, the other ends become edges to that one, and nodes move on to
     where their new end has gone.  Nodes with very many neighbours are only aggregated with map-side combine, or stand on the
     side of a join that Spark can split.  Each round is written to the shared folder.  Nodes without edges do not occur; null
@@ -87,13 +91,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
                 yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 100_000]), pa.array(v[i : i + 100_000])], names=["u", "v"])
 
     for _ in range(rounds):
-        # partitions of even size: a small graph fits one, a large one has many
-        e = saved(e.hint("rebalance").mapInArrow(forest, f"u {kind}, v {kind}"))
-        up = saved(e.groupBy("u").agg(F.min("v").alias("p"), F.max("v").alias("q")))
-        # done if every node has one end, and no end has one itself
+        e = saved(e)
+        parts = max(1, -(-e.count() // FOREST_EDGES))
+        e = saved(e.coalesce(parts).mapInArrow(forest, f"u {kind}, v {kind}"))
+        if parts == 1:  # one task has seen all edges that are left
+            up = e.select("u", F.col("v").alias("p"))
+        else:
+            up = saved(e.groupBy("u").agg(F.min("v").alias("p"), F.max("v").alias("q")))
         tops = up.select(F.col("p").alias("x")).distinct()
-        deep = up.filter("p <> q").isEmpty() and up.join(tops, up["u"] == tops["x"], "left_semi").isEmpty()
-        if deep:
+        # done if every node has one end, and no end has one itself
+        if parts == 1 or up.filter("p <> q").isEmpty() and up.join(tops, up["u"] == tops["x"], "left_semi").isEmpty():
             return up.select(F.col("u").alias("node"), F.col("p").alias("component")).unionByName(tops.select(F.col("x").alias("node"), F.col("x").alias("component")))
         further = up.select(F.col("u").alias("x"), F.col("p").alias("pp"))
         jumped = up.join(further, up["p"] == further["x"], "left").select("u", F.coalesce("pp", "p").alias("v"))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clonespan.llm import decontamination, jaccard, lines, mixing, quality_net, rules, sharding, substrings, tokens, toxicity, warc
+from clonespan.llm import decontamination, jaccard, lines, mixing, quality_net, rules, sharding, shared, substrings, tokens, toxicity, warc
 from clonespan.llm.shared import components, scratch
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -55,7 +55,9 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_per_task", [1_000_000, 60])
+def test_components(spark, monkeypatch, edges_per_task):
+    monkeypatch.setattr(shared, "FOREST_EDGES", edges_per_task)
     r = random.Random(1)
     pairs = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1200)] + [(r.randrange(3000, 3400), r.randrange(3000, 3400)) for _ in range(150)] + [(5, 5), (None, 1)]
     got = {x["node"]: x["component"] for x in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
