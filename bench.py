@@ -19,7 +19,7 @@ from clonespan.session import local_session  # noqa: E402
 HEADLINE = [
     "agg1_aa_clone_table", "agg5_sample_summary", "src1_clone_lines", "fea4_top_k", "fea9_kmers", "fea12_core_table", "flt4_vocabulary_filter", "pub3_catalog",
     "pub7_overlap_features", "pub12_leave_one_out", "pub13_crossfit", "stb2_iteration_sizes", "spl3_imbalance_score", "spl10_best_distinct", "eva12_repeat_metrics",
-    "eva10_threshold_rules", "spl18_bootstrap_intervals", "eva20_coefficient_stability", "mod4_standardised_values",
+    "eva10_threshold_rules", "spl18_bootstrap_intervals", "eva20_coefficient_stability", "mod4_standardised_values", "mod7_elastic_net_fit",
 ]
 
 

@@ -25,7 +25,7 @@ def n_samples(v):
 
 
 def vocabulary(v, **kw):
-    return X.kmer_vocabulary(X.kmer_features(v.clones, KEY), n_samples(v), min_prevalence=0.5, **kw)
+    return X.kmer_vocabulary(X.kmer_features(v.clones, KEY), n_samples(v), **kw)
 
 
 def summary(v):

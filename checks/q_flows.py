@@ -28,7 +28,7 @@ def _(v):
 @query("flow2_sample_features", "sample_id columns:i " + spec(["Shannon", "Gini", "top10_cumulative_frequency", "mean_hydrophobicity"], 7), """
     select sample_id, 97 + 2 * least(100, (select count(*) from vocab where keep)) as columns, Shannon, Gini, top10_cumulative_frequency, mean_hydrophobicity from core""")
 def _(v):
-    m = W.sample_features(v.clones, summary(v), max_kmers=100, min_prevalence=0.5)["matrix"]
+    m = W.sample_features(v.clones, summary(v), max_kmers=100)["matrix"]
     return m.withColumn("columns", F.lit(len(m.columns)))
 
 

@@ -10,7 +10,7 @@ from clonespan.operators import joins as J
 from clonespan.operators import metrics as M
 
 from .registry import query
-from .sql_views import confusion_sql, ranking_sql, rule_sql, threshold_sql
+from .sql_views import FRAGMENTS, confusion_sql, ranking_sql, rule_sql, threshold_sql
 
 RATES = "TN:i FP:i FN:i TP:i accuracy:8 sensitivity_recall:8 specificity:8 precision:8 f1:8"
 MODELS = ["M0", "M1", "M2", "M3"]
@@ -144,22 +144,43 @@ def _(v):
     return K.wilcoxon(paired(v))
 
 
-@query("eva15_wilcoxon_p_values", "metric model_a model_b statistic:4 p_value_raw:10")
+LOWER_GAMMA = "list_sum(list_transform(range(0, 400), lambda i: exp(-h + (i + {a}) * ln(h) - lgamma(i + {a} + 1))))"
+FRAGMENTS["signed_rank"] = """
+select w.*, coalesce(t.tie, 0) as tie, z.n_zero from wilcoxon w
+join (select metric, model_a, model_b, count(*) filter (round(difference, 12) = 0) as n_zero from paired group by 1, 2, 3) z on w.metric = z.metric and w.model_a = z.model_a and w.model_b = z.model_b
+left join (select metric, model_a, model_b, sum(c * c * c - c) as tie from (select metric, model_a, model_b, a, count(*) as c from signed group by all) x group by 1, 2, 3) t
+  on w.metric = t.metric and w.model_a = t.model_a and w.model_b = t.model_b
+"""
+
+
+@query("eva15_wilcoxon_p_values", "metric model_a model_b statistic:4 p_value_raw:10", f"""
+    with recursive ways as (  -- subsets of the first k ranks by their sum
+      select 0 as k, list_transform(range(0, 1276), lambda i: case when i = 0 then 1::bigint else 0::bigint end) as w
+      union all select k + 1, list_transform(range(1, 1277), lambda i: w[i] + case when i > k + 1 then w[i - k - 1] else 0 end) from ways where k < 50),
+    z as (select *, n_nonzero * (n_nonzero + 1) * (2 * n_nonzero + 1) / 24 - tie / 48 as var from signed_rank),
+    h as (select *, case when var > 0 then power(statistic - n_nonzero * (n_nonzero + 1) / 4, 2) / var / 2 else 0 end as h from z)
+    select metric, model_a, model_b, statistic, case when n_nonzero = 0 then 1.0
+      when tie = 0 and n_zero = 0 and n_nonzero <= 50 then least(1.0, 2.0 * list_sum(w[1 : floor(statistic)::int + 1]) / power(2, n_nonzero))
+      when h <= 0 then 1.0 else 1 - {LOWER_GAMMA.format(a=0.5)} end as p_value_raw
+    from h left join ways on k = n_nonzero""")
 def _(v):
     return K.with_wilcoxon_p(K.wilcoxon(paired(v)))
 
 
-@query("eva16_friedman", "metric n_repeats:i statistic:6", """
+FRAGMENTS["friedman_test"] = """
     with ranked as (select metric, outer_repeat, model, v, rank() over (partition by metric, outer_repeat order by v) + (count(*) over (partition by metric, outer_repeat, v) - 1) / 2 as r
       from (select *, round(value, 12) as v from rep_long) x),
     sums as (select metric, sum(s * s) as ss, max(n) as n from (select metric, model, sum(r) as s, count(*) as n from ranked group by 1, 2) y group by 1),
     tied as (select metric, sum(t * t * t - t) as tie from (select metric, outer_repeat, v, count(*) as t from ranked group by 1, 2, 3) z group by 1)
-    select s.metric, n as n_repeats, case when 1 - tie / (n * 60) <= 0 then 0.0 else (12.0 / 20 * ss / n - 15 * n) / (1 - tie / (n * 60)) end as statistic from sums s join tied t on s.metric = t.metric""")
+    select s.metric, n as n_repeats, case when 1 - tie / (n * 60) <= 0 then 0.0 else (12.0 / 20 * ss / n - 15 * n) / (1 - tie / (n * 60)) end as statistic from sums s join tied t on s.metric = t.metric"""
+
+
+@query("eva16_friedman", "metric n_repeats:i statistic:6", "select * from friedman_test")
 def _(v):
     return K.friedman(long(v), MODELS)
 
 
-@query("eva16_friedman_p_values", "metric statistic:6 p_value:10")
+@query("eva16_friedman_p_values", "metric statistic:6 p_value:10", f"select metric, statistic, case when h <= 0 then 1.0 else 1 - {LOWER_GAMMA.format(a=1.5)} end as p_value from (select *, statistic / 2 as h from friedman_test) x")
 def _(v):
     return K.with_chi_square_p(K.friedman(long(v), MODELS))
 

@@ -244,7 +244,7 @@ def _(v):
     select p.outer_repeat, p.sample_id, m.x1, p.mean_p from (select outer_repeat, sample_id, avg(p) as mean_p from preds group by 1, 2) p join matrix m on p.sample_id = m.sample_id""")
 def _(v):
     dyn = v.preds.groupBy("outer_repeat", "sample_id").agg(F.avg("p").alias("mean_p"))
-    return dyn.join(v.matrix.select("sample_id", "x1"), "sample_id")
+    return J.with_dynamic_features(v.matrix.select("sample_id", "x1"), dyn, ["sample_id"])
 
 
 @query("set1_union_of_tables", "receptor sample_id value:7", "select 'F' as receptor, sample_id, x1 as value from matrix union all select 'O', sample_id, x2 from matrix")
@@ -254,12 +254,12 @@ def _(v):
 
 @query("set2_difference", "sample_id", "select c_custkey as sample_id from customer except select o_custkey from orders where o_orderpriority = '1-URGENT'")
 def _(v):
-    return v.subjects.select("sample_id").subtract(v.table("orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey"))
+    return J.key_difference(v.subjects, v.table("orders").filter("o_orderpriority = '1-URGENT'"), "sample_id", "o_custkey")
 
 
 @query("set2_intersection", "sample_id", "select c_custkey as sample_id from customer intersect select o_custkey from orders where o_orderpriority = '1-URGENT'")
 def _(v):
-    return v.subjects.select("sample_id").intersect(v.table("orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey"))
+    return J.key_intersection(v.subjects, v.table("orders").filter("o_orderpriority = '1-URGENT'"), "sample_id", "o_custkey")
 
 
 @query("set3_repeated_keys", "o_custkey o_orderpriority rows:i", "select o_custkey, o_orderpriority, count(*) as rows from orders group by 1, 2 having count(*) > 1")

@@ -354,9 +354,9 @@ def _(v):
 
 @query("flt9_empirical_screen", "scheme status reasons", """
     select *, case when reasons = '' then 'PASS_EMPIRICAL_SCREEN' else 'REVIEW' end as status from (
-      select o.scheme, concat_ws('; ', case when ea > 0.05 then 'A_specific empty_rate>0.05' end, case when eb > 0.05 then 'B_specific empty_rate>0.05' end, case when jg < 0.5 then 'global_public median_jaccard<0.50' end,
-        case when js < 0.5 then 'shared median_jaccard<0.50' end, case when ja < 0.3 then 'A_specific median_jaccard<0.30' end, case when jb < 0.3 then 'B_specific median_jaccard<0.30' end,
-        case when za < 0.2 then 'A_specific_ref_frequency_sum nonzero_rate<0.20' end, case when zb < 0.2 then 'B_specific_ref_frequency_sum nonzero_rate<0.20' end) as reasons
+      select o.scheme, concat_ws('; ', case when ea > 0.05 then 'A_specific empty_rate=' || printf('%.3f', round(ea, 3)) || '>0.05' end, case when eb > 0.05 then 'B_specific empty_rate=' || printf('%.3f', round(eb, 3)) || '>0.05' end, case when jg < 0.5 then 'global_public median_jaccard=' || printf('%.3f', round(jg, 3)) || '<0.50' end,
+        case when js < 0.5 then 'shared median_jaccard=' || printf('%.3f', round(js, 3)) || '<0.50' end, case when ja < 0.3 then 'A_specific median_jaccard=' || printf('%.3f', round(ja, 3)) || '<0.30' end, case when jb < 0.3 then 'B_specific median_jaccard=' || printf('%.3f', round(jb, 3)) || '<0.30' end,
+        case when za < 0.2 then 'A_specific_ref_frequency_sum nonzero_rate=' || printf('%.3f', round(za, 3)) || '<0.20' end, case when zb < 0.2 then 'B_specific_ref_frequency_sum nonzero_rate=' || printf('%.3f', round(zb, 3)) || '<0.20' end) as reasons
       from (select scheme, max(empty_rate) filter (category = 'A_specific') as ea, max(empty_rate) filter (category = 'B_specific') as eb, max(median_jaccard_to_full) filter (category = 'global_public') as jg,
               max(median_jaccard_to_full) filter (category = 'shared') as js, max(median_jaccard_to_full) filter (category = 'A_specific') as ja, max(median_jaccard_to_full) filter (category = 'B_specific') as jb from stb_overview group by 1) o
       join (select scheme, max(nonzero_rate) filter (feature = 'A_specific_ref_frequency_sum') as za, max(nonzero_rate) filter (feature = 'B_specific_ref_frequency_sum') as zb from stb_features group by 1) z on o.scheme = z.scheme) x""")

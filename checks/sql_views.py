@@ -166,7 +166,7 @@ from kmers, (select count(distinct sample_id) as n from clones) t group by kmer
 """
 FRAGMENTS["vocab"] = """
 select *, reasons = '' as keep, case when reasons = '' then 'retained' else reasons end as filter_reason from (
- select *, concat_ws(';', case when training_sample_count < 5 then 'low_sample_count' end, case when training_sample_prevalence < 0.5 then 'low_prevalence' end,
+ select *, concat_ws(';', case when training_sample_count < 5 then 'low_sample_count' end, case when training_sample_prevalence < 0.05 then 'low_prevalence' end,
    case when variance_unweighted_value < 1e-12 and variance_weighted_value < 1e-12 then 'low_variance_both' end) as reasons from vocab_stats) v
 """
 FRAGMENTS["vocab_ranked"] = """

@@ -97,19 +97,20 @@ def wilcoxon(paired: DataFrame, digits: int = 12) -> DataFrame:
         F.count(F.lit(1)).alias("n_nonzero"),
     )
     tied = ranked.groupBy(*PAIR, "a").agg(F.count(F.lit(1)).alias("t")).groupBy(*PAIR).agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("tie_term"))
-    full = d.select(*PAIR).distinct().join(sums, PAIR, "left").join(tied, PAIR, "left").fillna(0.0)
+    pairs = d.groupBy(*PAIR).agg(count_if(F.col("d") == 0).alias("n_zero"))
+    full = pairs.join(sums, PAIR, "left").join(tied, PAIR, "left").fillna(0.0)
     total = F.col("w_plus") + F.col("w_minus")
     return full.select(
-        *PAIR, "w_plus", "w_minus", "n_nonzero", "tie_term", F.least("w_plus", "w_minus").alias("statistic"),
+        *PAIR, "w_plus", "w_minus", "n_nonzero", "n_zero", "tie_term", F.least("w_plus", "w_minus").alias("statistic"),
         F.when(total > 0, (F.col("w_plus") - F.col("w_minus")) / total).otherwise(F.lit(0.0)).alias("rank_biserial"),
     )
 
 
-def _signed_rank_p(n: int, statistic: float, tie_term: float) -> float:
-    """Two-sided p-value: exact for small samples without ties, else the tie-corrected normal approximation."""
+def _signed_rank_p(n: int, statistic: float, tie_term: float, n_zero: int, method: str) -> float:
+    """Two-sided p-value of the signed-rank statistic, exact or by the tie-corrected normal approximation."""
     if n == 0:
         return 1.0
-    if tie_term == 0 and n <= 50:
+    if method == "exact" or method == "auto" and tie_term == 0 and n_zero == 0 and n <= 50:
         ways = [1] + [0] * (n * (n + 1) // 2)
         for rank in range(1, n + 1):
             for s in range(len(ways) - 1, rank - 1, -1):
@@ -137,14 +138,20 @@ def _chi_square_p(x: float, df: int) -> float:
     return total
 
 
-def with_wilcoxon_p(tests: DataFrame) -> DataFrame:
-    """Add p-values; one row per (metric, pair), so the Python batches hold tens of rows."""
+def with_wilcoxon_p(tests: DataFrame, method: str = "auto") -> DataFrame:
+    """Add p-values; one row per (metric, pair), so the Python batches hold tens of rows.
+
+    `method`: "exact", "approx", or "auto", the usual convention of statistics libraries: exact for up to 50 differences
+    without ties and zeros, else approximate.
+    """
+    if method not in ("auto", "exact", "approx"):
+        raise ValueError(f"unknown method: {method}")
 
     @F.pandas_udf("double")
-    def p_value(n: pd.Series, w: pd.Series, t: pd.Series) -> pd.Series:
-        return pd.Series([_signed_rank_p(int(a), float(b), float(c)) for a, b, c in zip(n, w, t)])
+    def p_value(n: pd.Series, w: pd.Series, t: pd.Series, z: pd.Series) -> pd.Series:
+        return pd.Series([_signed_rank_p(int(a), float(b), float(c), int(d), method) for a, b, c, d in zip(n, w, t, z)])
 
-    return tests.withColumn("p_value_raw", p_value("n_nonzero", "statistic", "tie_term"))
+    return tests.withColumn("p_value_raw", p_value("n_nonzero", "statistic", "tie_term", "n_zero"))
 
 
 def friedman(long: DataFrame, models: list[str], repeat: str = "outer_repeat", digits: int = 12) -> DataFrame:

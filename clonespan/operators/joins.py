@@ -42,6 +42,24 @@ def id_set_difference(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return only.select(*key, F.when(F.col("in_b").isNull(), "only_in_a").otherwise("only_in_b").alias("side"))
 
 
+def with_dynamic_features(static: DataFrame, dynamic: DataFrame, key: list[str]) -> DataFrame:
+    """Features that change with the task next to the features that don't: one row per row of `dynamic` that has a static partner."""
+    clash = sorted((set(static.columns) & set(dynamic.columns)) - set(key))
+    if clash:
+        raise ValueError(f"columns on both sides: {clash}")
+    return dynamic.join(static, key)
+
+
+def key_difference(a: DataFrame, b: DataFrame, key: str, other: str | None = None) -> DataFrame:
+    """Distinct keys of `a` that `b` (column `other`) doesn't have; null counts as a value."""
+    return a.select(key).subtract(b.select(other or key))
+
+
+def key_intersection(a: DataFrame, b: DataFrame, key: str, other: str | None = None) -> DataFrame:
+    """Distinct keys that both sides have; null counts as a value."""
+    return a.select(key).intersect(b.select(other or key))
+
+
 def shared_keys(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     """Keys present on both sides; disjoint when the result is empty."""
     return a.select(*key).distinct().join(b.select(*key).distinct(), key, "left_semi")

@@ -201,7 +201,7 @@ def most_selected(selection: DataFrame, limit: int, schemes: list[Scheme] = SCHE
 
 
 def screening(overview: DataFrame, features: DataFrame, cohorts: tuple[str, str] = COHORTS) -> DataFrame:
-    """Empirical screen of every scheme: PASS_EMPIRICAL_SCREEN, or REVIEW with the failing rules."""
+    """Empirical screen of every scheme: PASS_EMPIRICAL_SCREEN, or REVIEW with the failing rules and what was observed."""
     a, b = cohorts
     # Lowest acceptable median Jaccard per category, highest empty rate, lowest share of non-zero features.
     targets = {"global_public": 0.50, "shared": 0.50, f"{a}_specific": 0.30, f"{b}_specific": 0.30}
@@ -211,9 +211,13 @@ def screening(overview: DataFrame, features: DataFrame, cohorts: tuple[str, str]
     )
     wanted = [f"{a}_specific_ref_frequency_sum", f"{b}_specific_ref_frequency_sum"]
     nonzero = features.groupBy("scheme").agg(*[F.max(F.when(F.col("feature") == f, F.col("nonzero_rate"))).alias(f"z_{f}") for f in wanted])
-    reasons = [F.when(F.col(f"e_{c}") > 0.05, F.lit(f"{c} empty_rate>0.05")) for c in (f"{a}_specific", f"{b}_specific")]
-    reasons += [F.when(F.col(f"j_{c}") < t, F.lit(f"{c} median_jaccard<{t:.2f}")) for c, t in targets.items()]
-    reasons += [F.when(F.col(f"z_{f}").isNull(), F.lit(f"missing feature {f}")).when(F.col(f"z_{f}") < 0.20, F.lit(f"{f} nonzero_rate<0.20")) for f in wanted]
+
+    def told(name: str, value: str, limit: str) -> Column:
+        return F.concat(F.lit(f"{name}="), F.format_string("%.3f", F.round(value, 3)), F.lit(limit))
+
+    reasons = [F.when(F.col(f"e_{c}") > 0.05, told(f"{c} empty_rate", f"e_{c}", ">0.05")) for c in (f"{a}_specific", f"{b}_specific")]
+    reasons += [F.when(F.col(f"j_{c}") < t, told(f"{c} median_jaccard", f"j_{c}", f"<{t:.2f}")) for c, t in targets.items()]
+    reasons += [F.when(F.col(f"z_{f}").isNull(), F.lit(f"missing feature {f}")).when(F.col(f"z_{f}") < 0.20, told(f"{f} nonzero_rate", f"z_{f}", "<0.20")) for f in wanted]
     text = join_reasons(reasons, "; ")
     out = rules.join(nonzero, "scheme", "left").withColumn("reasons", text)
     return out.select("scheme", F.when(F.col("reasons") == "", "PASS_EMPIRICAL_SCREEN").otherwise("REVIEW").alias("status"), "reasons")
