@@ -4,7 +4,8 @@
 2. Two sets with Jaccard similarity of t or more differ in at most d elements, d known for a band of sizes.  The hash space is
    cut into more than d slices for the band; a similar pair agrees on all elements of at least one slice that is not empty.
    (band, slice, content) is a tile; documents that meet in a tile are candidates.  No similar pair is missed.
-3. Candidate components are cut into blocks of bounded size.  Within a block, pairs of fitting size whose bitmaps' differing
+3. Candidate components are cut into blocks of bounded size.  First only bitmaps are dealt to the blocks: sets that no other
+   set of the component can reach, by the bit counts and sizes, are done.  Of the others the elements follow.  Within a block, pairs of fitting size whose bitmaps' differing
    bits leave enough overlap are intersected exactly; pairs that are connected already need no look.  Between blocks the same
    bit counts screen the pairs that are not connected yet, and the survivors are intersected.
 """
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, saved, text_of
+from .shared import bounded_batches, components, saved, text_of
 from .tokens import Words, bloom_has, bloom_of, mix, pieces, ranges_hash
 
 #: Growth of the size bands; text bytes that one bucket of tiles is sized for; sets and elements of a block; words of a bitmap.
@@ -144,7 +145,7 @@ def _rows(kind: int, n_rows: int, **columns) -> pa.RecordBatch:
 
 
 def signed(docs: DataFrame, width: int, t: Threshold, n_buckets: int) -> DataFrame:
-    """One pass over the texts.  kind 0: a document's set (n, digests); kind 1: packed tiles for bucket n; kind 2: candidate edges.
+    """One pass over the texts.  kind 0: a document's set (n, digests, bitmap); kind 1: packed tiles for bucket n; kind 2: candidate edges.
 
     Tiles that several documents of a piece share become edges at once and go on with one document, so that a tile of many
     documents has a row per piece of text only.  Packed: 6 bytes of tile and 6 of set digest (chance hits are harmless here).
@@ -157,7 +158,8 @@ def signed(docs: DataFrame, width: int, t: Threshold, n_buckets: int) -> DataFra
                 h, first = shingle_sets(w, width)
                 h1, h2 = digests(h, first)
                 n = np.diff(first)
-                yield _rows(0, len(n), doc_id=ids.slice(w.rows.start, len(n)), n=pa.array(n), h1=pa.array(h1.view(np.int64)), h2=pa.array(h2.view(np.int64)))
+                maps = pa.array([bitmap(h[s:e]).tobytes() for s, e in zip(first[:-1], first[1:])], pa.binary())
+                yield _rows(0, len(n), doc_id=ids.slice(w.rows.start, len(n)), n=pa.array(n), h1=pa.array(h1.view(np.int64)), h2=pa.array(h2.view(np.int64)), blob=maps)
                 tile, owner = tiles(h, first, t)
                 node = h1[owner] & LOW48
                 a, b, heads = stars(tile, node)
@@ -251,62 +253,108 @@ def linked(names: list, sets: list[np.ndarray], t: Threshold, known: list | None
     return out
 
 
-def _block_links(blocks: DataFrame, keys: list[str], n_tasks: int, t: Threshold) -> DataFrame:
-    """Links (a, b) within every group of rows (keys, node, elements); groups pass one after the other in key order."""
-
-    def solve(rows):
-        return linked([r[0] for r in rows], [np.frombuffer(r[1], np.uint64) for r in rows], t) if len(rows) > 1 else []
+def _per_block(blocks: DataFrame, columns: list[str], n_tasks: int, solve, schema: str) -> DataFrame:
+    """`solve` over the rows (columns) of every block (cand, band, part); blocks pass one after the other in key order."""
+    keys, names = ["cand", "band", "part"], [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
         now, rows = None, []
         for b in batches:
-            links = []
-            for *key, node, elements in zip(*[b.column(c).to_pylist() for c in [*keys, "node", "elements"]]):
+            out = []
+            for *key, row in zip(*[b.column(c).to_pylist() for c in keys], zip(*[b.column(c).to_pylist() for c in columns])):
                 if key != now:
-                    links += solve(rows)
+                    out += solve(rows)
                     now, rows = key, []
-                rows.append((node, elements))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], names=["a", "b"])
-        links = solve(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.string()) for k in (0, 1)], names=["a", "b"])
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(len(names))], names=names)
+        out = solve(rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(len(names))], names=names)
+
+    return blocks.repartition(n_tasks, *keys).sortWithinPartitions(*keys).select(*keys, *columns).mapInArrow(run, schema)
+
+
+def _block_links(blocks: DataFrame, n_tasks: int, t: Threshold) -> DataFrame:
+    """Links (a, b) within every block of (node, elements)."""
+
+    def solve(rows):
+        sets = {node: np.frombuffer(elements, np.uint64) for node, elements in rows}
+        return linked(list(sets), list(sets.values()), t) if len(sets) > 1 else []
+
+    return _per_block(blocks, ["node", "elements"], n_tasks, solve, "a string, b string")
+
+
+def _near(n: np.ndarray, bits: np.ndarray, i: int, j: np.ndarray, t: Threshold) -> np.ndarray:
+    """Those of the sets j whose size and bitmap allow enough overlap with set i."""
+    j = j[np.minimum(n[j], n[i]) * t.den >= np.maximum(n[j], n[i]) * t.num]
+    total = n[j] + n[i]
+    return j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= total - 2 * t.overlap(total)]
+
 
-    sorted_blocks = blocks.repartition(n_tasks, *keys).sortWithinPartitions(*keys).select(*keys, "node", "elements")
-    return sorted_blocks.mapInArrow(run, "a string, b string")
+def _facing(light: DataFrame) -> DataFrame:
+    """The blocks of large groups face each other in tiles: (cand, tile, all columns); blocks of equal or neighbouring size band,
+    at least one with a row `todo`."""
+    blocks = light.groupBy("cand", "band", "part").agg(F.max("todo").alias("todo"))
+    other = blocks.select(F.col("cand").alias("c2"), F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("todo").alias("todo2"))
+    below = ((F.col("band2") == F.col("band")) & (F.col("part2") >= F.col("part"))) | (F.col("band2") == F.col("band") + 1)
+    pairs = blocks.join(other, (F.col("cand") == F.col("c2")) & below & (F.col("todo") | F.col("todo2")))
+    pairs = saved(pairs.select("cand", "band", "part", "band2", "part2"))
+    keys, rest = ["cand", "band", "part"], [c for c in light.columns if c not in ("band", "part")]
+    left = light.join(pairs, keys).select(*rest, F.concat_ws(":", "band", "part", "band2", "part2").alias("tile"))
+    turned = pairs.select("cand", F.col("band").alias("band1"), F.col("part").alias("part1"), F.col("band2").alias("band"), F.col("part2").alias("part"))
+    right = light.join(turned, keys).filter("band1 <> band or part1 <> part").select(*rest, F.concat_ws(":", "band1", "part1", "band", "part").alias("tile"))
+    return left.unionByName(right)
+
+
+def _partnered(light: DataFrame, n_tasks: int, t: Threshold) -> DataFrame:
+    """(node) of the sets of (cand, band, part, single, node, n, bits) that have another set within reach of size and bitmap.
+
+    A set that finds one in its own block is done; of groups with several blocks only the others are looked up elsewhere.
+    """
+
+    def marks(names, n, bits, todo):
+        found = np.zeros(len(n), bool)
+        for i in np.flatnonzero(todo):
+            if not found[i]:
+                j = _near(n, bits, i, np.delete(np.arange(len(n)), i), t)
+                found[j] = True
+                found[i] = len(j) > 0
+        return [(names[i],) for i in np.flatnonzero(found & todo)]
+
+    def within(rows):
+        if len(rows) < 2:
+            return []
+        names, n, bits = zip(*rows)
+        return marks(names, np.array(n), np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITMAP_WORDS), np.ones(len(n), bool))
+
+    here = saved(_per_block(light, ["node", "n", "bits"], n_tasks, within, "node string"))
+    big = light.filter("not single").join(here.withColumn("todo", F.lit(False)), "node", "left").withColumn("todo", F.coalesce("todo", F.lit(True)))
+
+    def across(key, rows):
+        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, BITMAP_WORDS)
+        got = marks(rows["node"].tolist(), rows["n"].to_numpy(), bits, rows["todo"].to_numpy().astype(bool))
+        return pd.DataFrame({"node": pd.Series([x[0] for x in got], dtype=str)})
+
+    there = _facing(big.select("cand", "band", "part", "node", "n", "bits", "todo")).groupBy("cand", "tile").applyInPandas(across, "node string")
+    return here.unionByName(there.distinct()).distinct()
 
 
 def _cross_links(members: DataFrame, links: DataFrame, n_tasks: int, t: Threshold) -> DataFrame:
     """Links between blocks of large candidate groups: first among one set per connected part, then among all that is still apart.
 
-    members: (cand, band, parts, part, node, n, elements).  Only bitmaps meet in the tiles of block pairs; pairs that pass the
+    members: (cand, band, parts, part, node, n, bits, elements).  Only bitmaps meet in the tiles of block pairs; pairs that pass the
     bit count and are not connected are intersected exactly.
     """
     label = components(links).withColumnRenamed("component", "label")
     known = saved(members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
     heads = known.groupBy("cand", "band", "label").agg(F.min(F.struct("node", "elements")).alias("x"), F.max("parts").alias("parts"))
     heads = heads.withColumn("part", F.pmod(F.xxhash64("label", F.lit(1)), "parts").cast("int")).select("cand", "band", "part", F.col("x.node").alias("node"), F.col("x.elements").alias("elements"))
-    links = saved(links.unionByName(_block_links(heads, ["cand", "band", "part"], n_tasks, t)))
+    links = saved(links.unionByName(_block_links(heads, n_tasks, t)))
     label = components(links).withColumnRenamed("component", "label")
     known = known.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
-    def maps(batches):
-        for b in batches:
-            raw = [bitmap(np.frombuffer(x, np.uint64)).tobytes() for x in b.column("elements").to_pylist()]
-            keep = [c for c in b.schema.names if c != "elements"]
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(raw, pa.binary())], names=[*keep, "bits"])
-
-    names = ["cand", "band", "parts", "part", "node", "n", "label"]
-    light = saved(known.select(*names, "elements").mapInArrow(maps, "cand bigint, band int, parts int, part int, node string, n bigint, label string, bits binary"))
     # groups that are one connected part need no further look
-    apart = light.groupBy("cand").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("cand")
-    light = light.join(apart, "cand", "left_semi")
-    blocks = light.groupBy("cand", "band", "part").agg(F.count("*").alias("size")).select("cand", "band", "part")
-    other = blocks.select(F.col("cand").alias("c2"), F.col("band").alias("band2"), F.col("part").alias("part2"))
-    pairs = blocks.join(other, (F.col("cand") == F.col("c2")) & (((F.col("band2") == F.col("band")) & (F.col("part2") >= F.col("part"))) | (F.col("band2") == F.col("band") + 1)))
-    pairs = saved(pairs.select("cand", "band", "part", "band2", "part2"))
-    tile = F.concat_ws(":", "band", "part", "band2", "part2")
-    left = light.join(pairs, ["cand", "band", "part"]).select("cand", tile.alias("tile"), F.lit(0).alias("side"), "node", "n", "label", "bits")
-    right = light.join(pairs.select("cand", F.col("band").alias("band1"), F.col("part").alias("part1"), F.col("band2").alias("band"), F.col("part2").alias("part")), ["cand", "band", "part"])
-    right = right.filter("band1 <> band or part1 <> part").select("cand", F.concat_ws(":", "band1", "part1", "band", "part").alias("tile"), F.lit(1).alias("side"), "node", "n", "label", "bits")
+    apart = known.groupBy("cand").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("cand")
+    light = known.join(apart, "cand", "left_semi").select("cand", "band", "part", "node", "n", "label", "bits", F.lit(True).alias("todo"))
 
     def screen(key, rows):
         n, label, names = rows["n"].to_numpy(), rows["label"].to_numpy(), rows["node"].to_numpy()
@@ -314,14 +362,12 @@ def _cross_links(members: DataFrame, links: DataFrame, n_tasks: int, t: Threshol
         a, b = [], []
         for i in range(len(n)):
             j = np.arange(i + 1, len(n))
-            j = j[(label[j] != label[i]) & (np.minimum(n[j], n[i]) * t.den >= np.maximum(n[j], n[i]) * t.num)]
-            total = n[j] + n[i]
-            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= total - 2 * t.overlap(total)]
+            j = _near(n, bits, i, j[label[j] != label[i]], t)
             a += [names[i]] * len(j)
             b += names[j].tolist()
         return pd.DataFrame({"a": pd.Series(a, dtype=str), "b": pd.Series(b, dtype=str)})
 
-    passed = saved(left.unionByName(right).groupBy("cand", "tile").applyInPandas(screen, "a string, b string").distinct())
+    passed = saved(_facing(light).groupBy("cand", "tile").applyInPandas(screen, "a string, b string").distinct())
     arrays = known.select("node", "elements")
     both = passed.join(arrays.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(arrays.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
 
@@ -348,16 +394,17 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10)
     are ignored.
     """
     t = Threshold(num, den)
+    bounded_batches(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0))).first()[0]
     n_buckets = max(8, -(-size // BUCKET_TEXT))
     passed = saved(signed(docs, width, t, n_buckets))
-    sets = passed.filter("kind = 0").select("doc_id", "n", "h1", "h2")
+    sets = passed.filter("kind = 0").select("doc_id", "n", "h1", "h2", F.col("blob").alias("bits"))
     edges = passed.filter("kind = 2").select(F.col("h1").alias("a"), F.col("h2").alias("b")).unionByName(bucket_edges(passed.filter("kind = 1"), n_buckets))
     candidates = components(edges).withColumnRenamed("component", "cand")
 
-    classes = saved(sets.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    classes = saved(sets.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     low = F.col("h1").bitwiseAND(F.lit(int(LOW48)))
-    members = classes.withColumn("low", low).join(candidates, F.col("low") == F.col("node")).select("cand", "doc_id", "h1", "h2", "n")
+    members = classes.withColumn("low", low).join(candidates, F.col("low") == F.col("node")).select("cand", "doc_id", "h1", "h2", "n", "bits")
     band = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
     whole = members.groupBy("cand").agg(F.count("*").alias("all"), F.sum("n").alias("all_n")).filter("all > 1")
     banded = members.groupBy("cand", band.alias("band")).agg(F.count("*").alias("size"), F.sum("n").alias("size_n"))
@@ -369,13 +416,14 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10)
     members = saved(
         members.select(
             "cand", "single", F.when(F.col("single"), F.lit(0)).otherwise(F.col("band")).cast("int").alias("band"), "parts",
-            F.pmod(F.xxhash64("h1", "h2"), "parts").cast("int").alias("part"), node.alias("node"), "doc_id", "h1", "h2", "n",
+            F.pmod(F.xxhash64("h1", "h2"), "parts").cast("int").alias("part"), node.alias("node"), "doc_id", "h1", "h2", "n", "bits",
         )
     )
-    with_sets = saved(members.join(_elements(docs, members.select("doc_id"), width), ["doc_id", "h1", "h2"]).dropDuplicates(["cand", "node"]))
-    links = saved(_block_links(with_sets, ["cand", "band", "part"], n_buckets, t))
+    members = saved(members.join(_partnered(members, n_buckets, t), "node", "left_semi"))
+    with_sets = saved(members.join(_elements(docs, members.select("doc_id"), width), ["doc_id", "h1", "h2"]))
+    links = saved(_block_links(with_sets, n_buckets, t))
     if not members.filter("not single").isEmpty():
-        big = with_sets.filter("not single").select("cand", "band", "parts", "part", "node", "n", "elements")
+        big = with_sets.filter("not single").select("cand", "band", "parts", "part", "node", "n", "bits", "elements").dropDuplicates(["cand", "node"])
         links = saved(_cross_links(big, links, n_buckets, t))
     merged = components(links)
     named = classes.withColumn("node", node).join(merged, "node").select("component", "h1", "h2", "doc_id")
