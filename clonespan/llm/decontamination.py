@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import text_of, without
+from .shared import bounded_batches, text_of, without
 
 #: Words of an item that make a window, and the words that one automaton holds at most (more items: more automata in a row).
 WINDOW, AUTOMATON_WORDS = 10, 500_000
@@ -165,6 +165,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_i
     benchmark, match nothing.  Repeated rows are scanned one by one.  Empty table: no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     held = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, automaton_words)]
     kept = [c for c in carry if c not in ("text", "n_words", "n_hit", "longest_match", "item_ids", "spans", "rejected")]
     source = docs.select(*[docs[f"`{c}`"] for c in kept], text_of().cast("binary").alias("_text"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, text_of
+from .shared import bounded_batches, saved, text_of
 
 #: A key counts from so many code points on; keys in so many documents are dropped; keys per shard and rows per probing task.
 MIN_CHARS, MIN_DOCS, SHARD_KEYS, PROBE_ROWS = 20, 3, 100_000, 100_000
@@ -147,6 +147,7 @@ class LineIndex:
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> "LineIndex":
         """An index of `docs`; the number of shards follows the number of references."""
+        bounded_batches(docs.sparkSession)
         plain = saved(line_references(docs))
         n_shards = max(1, -(-plain.count() // shard_keys))
         refs = plain.select(F.pmod("k1", F.lit(n_shards)).cast("int").alias("shard"), "k1", "k2", "doc_id")

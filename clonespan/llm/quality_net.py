@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import fold, training_sample
-from .shared import text_of
+from .shared import bounded_batches, text_of
 
 #: Bytes per frame step (a filter sees two steps), embedding size, filters, hidden units, frames per block, blocks per chunk and per chunk step.
 STRIDE, EMBED, FILTERS, HIDDEN, BLOCK, CHUNK_BLOCKS, STEP_BLOCKS = 4, 8, 24, 16, 32, 4, 3
@@ -177,6 +177,7 @@ def score(docs: DataFrame, net: Net, carry: tuple[str, ...] = ("doc_id",)) -> Da
     Null and empty texts get the network's score for no bytes.  Repeated rows and null ids are scored row by row.  Empty table:
     no rows.  Carried columns called like a result column are replaced.
     """
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)
     kept = [c for c in carry if c not in ("score", "predicted")]
     carried = "text" in kept

@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of 1,000 rows, unless the session names a size of its own: a batch is held more than once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that all executors share."""
     return f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"

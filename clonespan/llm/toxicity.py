@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import NORMAL
 from .labelled import fold, training_sample
-from .shared import saved, text_of
+from .shared import bounded_batches, saved, text_of
 
 #: Neighbours; examples per block; terms at most; bytes of the word beginnings that count as terms; most examples of a class.
 NEIGHBOURS, BLOCK, VOCABULARY, BEGINNINGS, EXAMPLES_PER_CLASS = 25, 64, 4_096, (5, 7), 6_000
@@ -214,6 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS)
 
     The sample has at most `per_class` rows of each class, whole texts; document frequencies come from all documents.
     """
+    bounded_batches(docs.sparkSession)
     sample, totals = training_sample(docs, labels, "toxic", fold(5) != 0, per_class)
     sample = saved(sample)
     rows = sorted(sample.collect(), key=lambda r: r["doc_id"])
