@@ -37,8 +37,10 @@ def iteration_counts(labelled: DataFrame, splits: DataFrame, iterations: int, co
     A clone gathers at most one entry per iteration.
     """
     full = presence_counts(labelled, [], cohorts).select("cdr3_aa", F.col("neg_count").alias("full_neg"), F.col("pos_count").alias("full_pos"))
-    full = full.filter(F.col("full_neg") + F.col("full_pos") >= min_count)
     if min_count > 1:
+        # one clone stays in any case, so that iterations in which every set is empty keep their rows
+        least = full.agg(F.min("cdr3_aa").alias("c")).scalar()
+        full = full.filter((F.col("full_neg") + F.col("full_pos") >= min_count) | (F.col("cdr3_aa") == least))
         labelled = labelled.join(full.select("cdr3_aa"), "cdr3_aa", "left_semi")
     held = splits.filter("role = 'held_out'").select("iteration", "sample_id")
     out = labelled.join(held, "sample_id").groupBy("cdr3_aa", "iteration").agg(

@@ -87,7 +87,8 @@ def test_singleton_policy(spark, subjects):
 def test_jaccard_of_empty_sets_is_one(spark, subjects):
     cells = spark.createDataFrame([(i, i, 1.0) for i in range(97)], "sample_id int, cdr3_aa int, frequency_norm double")
     out = flows.threshold_stability(cells, subjects, 2)
-    assert all(r.median_jaccard_to_full == 1.0 and r.empty_rate == 1.0 for r in out["overview"].collect())
+    overview = out["overview"].collect()
+    assert overview and all(r.median_jaccard_to_full == 1.0 and r.empty_rate == 1.0 for r in overview)
     assert {r.status for r in out["screening"].collect()} == {"REVIEW"}
 
 
