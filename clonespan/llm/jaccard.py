@@ -6,8 +6,9 @@
    (band, slice, content) is a tile; documents that meet in a tile are candidates.  No similar pair is missed.
 3. Candidate components are cut into blocks of bounded size.  First only bitmaps are dealt to the blocks: sets that no other
    set of the component can reach, by the bit counts and sizes, are done.  Of the others the elements follow.  Within a block, pairs of fitting size whose bitmaps' differing
-   bits leave enough overlap are intersected exactly; pairs that are connected already need no look.  Between blocks the same
-   bit counts screen the pairs that are not connected yet, and the survivors are intersected.
+   bits leave enough overlap are intersected exactly.  Between blocks the same bit counts tell which sets have a partner there;
+   their elements meet and are intersected.  Every similar pair of classes is found once.  Pairs are counted where they are
+   found; what moves on is a number per set and block, and the links that connect the sets as all pairs do.
 """
 
 from __future__ import annotations
@@ -230,32 +231,48 @@ def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, h1 bigint, h2 bigint, elements binary")
 
 
-def linked(names: list, sets: list[np.ndarray], t: Threshold, known: list | None = None) -> list[tuple]:
-    """Links that connect the sets as all their similar pairs do (a spanning forest); `known`: labels of sets connected already."""
+def linked(names: list, copies: list[int], sets: list[np.ndarray], t: Threshold, side: list[int] | None = None) -> list[tuple]:
+    """All similar pairs of the sets (with `side`: those of different sides) as rows (a, b, n): links (a, b, null) that connect
+    the sets as these pairs do (a spanning forest), and per set with partners (a, null, the sum of the partners' `copies`)."""
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
-    n, sets, names = n[order], [sets[i] for i in order], [names[i] for i in order]
+    n, sets, names, copies = n[order], [sets[i] for i in order], [names[i] for i in order], np.array(copies, np.int64)[order]
+    side = None if side is None else np.array(side)[order]
     maps = np.stack([bitmap(s) for s in sets])
-    label = np.unique(np.array([known[i] for i in order]), return_inverse=True)[1] if known else np.arange(len(sets))
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.concatenate(([0], np.cumsum(n)))
+    mark, label, partners = np.zeros(len(code), np.int32), np.arange(len(sets)), np.zeros(len(sets), np.int64)
     out = []
     for i in range(len(sets)):
-        upto = np.searchsorted(n, n[i] * t.den // t.num, "right")
-        other = np.arange(i + 1, upto)
-        other = other[label[other] != label[i]]
+        other = np.arange(i + 1, np.searchsorted(n, n[i] * t.den // t.num, "right"))
+        if side is not None:
+            other = other[side[other] != side[i]]
+        other = _near(n, maps, i, other, t)
         if not len(other):
             continue
-        total = n[other] + n[i]
-        apart = np.bitwise_count(maps[other] ^ maps[i]).sum(axis=1)
-        for j in other[apart <= total - 2 * t.overlap(total)]:
-            if label[j] != label[i] and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= t.overlap(n[i] + n[j]):
-                out.append((names[i], names[j]))
-                label[label == label[j]] = label[i]
-    return out
+        mark[code[first[i] : first[i + 1]]] = 1
+        starts = np.cumsum(n[other]) - n[other]
+        at = np.repeat(first[other] - starts, n[other]) + np.arange(n[other].sum())
+        both = np.add.reduceat(mark[code[at]], starts)
+        mark[code[first[i] : first[i + 1]]] = 0
+        hits = other[both >= t.overlap(n[other] + n[i])]
+        partners[i] += copies[hits].sum()
+        partners[hits] += copies[i]
+        apart, which = np.unique(label[hits], return_index=True)
+        for x, j in zip(apart.tolist(), hits[which].tolist()):
+            if x != label[i]:
+                out.append((names[i], names[j], None))
+                label[label == x] = label[i]
+    return out + [(names[i], None, int(partners[i])) for i in np.flatnonzero(partners)]
 
 
 def _per_block(blocks: DataFrame, columns: list[str], n_tasks: int, solve, schema: str) -> DataFrame:
     """`solve` over the rows (columns) of every block (cand, band, part); blocks pass one after the other in key order."""
-    keys, names = ["cand", "band", "part"], [x.split()[0] for x in schema.split(", ")]
+    keys, fields = ["cand", "band", "part"], [x.split() for x in schema.split(", ")]
+    kinds = pa.schema([(name, {"string": pa.string(), "bigint": pa.int64()}[kind]) for name, kind in fields])
+
+    def packed(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
     def run(batches):
         now, rows = None, []
@@ -266,21 +283,20 @@ def _per_block(blocks: DataFrame, columns: list[str], n_tasks: int, solve, schem
                     out += solve(rows)
                     now, rows = key, []
                 rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(len(names))], names=names)
-        out = solve(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(len(names))], names=names)
+            yield packed(out)
+        yield packed(solve(rows))
 
     return blocks.repartition(n_tasks, *keys).sortWithinPartitions(*keys).select(*keys, *columns).mapInArrow(run, schema)
 
 
 def _block_links(blocks: DataFrame, n_tasks: int, t: Threshold) -> DataFrame:
-    """Links (a, b) within every block of (node, elements)."""
+    """Rows (a, b, n) of `linked` within every block of (node, copies, elements)."""
 
     def solve(rows):
-        sets = {node: np.frombuffer(elements, np.uint64) for node, elements in rows}
-        return linked(list(sets), list(sets.values()), t) if len(sets) > 1 else []
+        sets = {node: (copies, np.frombuffer(elements, np.uint64)) for node, copies, elements in rows}
+        return linked(list(sets), *[list(x) for x in zip(*sets.values())], t) if len(sets) > 1 else []
 
-    return _per_block(blocks, ["node", "elements"], n_tasks, solve, "a string, b string")
+    return _per_block(blocks, ["node", "copies", "elements"], n_tasks, solve, "a string, b string, n bigint")
 
 
 def _near(n: np.ndarray, bits: np.ndarray, i: int, j: np.ndarray, t: Threshold) -> np.ndarray:
@@ -291,17 +307,17 @@ def _near(n: np.ndarray, bits: np.ndarray, i: int, j: np.ndarray, t: Threshold)
 
 
 def _facing(light: DataFrame) -> DataFrame:
-    """The blocks of large groups face each other in tiles: (cand, tile, all columns); blocks of equal or neighbouring size band,
-    at least one with a row `todo`."""
+    """The blocks of large groups face each other in tiles: (cand, tile, side, all columns); two blocks of equal or neighbouring
+    size band, at least one with a row `todo`."""
     blocks = light.groupBy("cand", "band", "part").agg(F.max("todo").alias("todo"))
     other = blocks.select(F.col("cand").alias("c2"), F.col("band").alias("band2"), F.col("part").alias("part2"), F.col("todo").alias("todo2"))
-    below = ((F.col("band2") == F.col("band")) & (F.col("part2") >= F.col("part"))) | (F.col("band2") == F.col("band") + 1)
+    below = ((F.col("band2") == F.col("band")) & (F.col("part2") > F.col("part"))) | (F.col("band2") == F.col("band") + 1)
     pairs = blocks.join(other, (F.col("cand") == F.col("c2")) & below & (F.col("todo") | F.col("todo2")))
     pairs = saved(pairs.select("cand", "band", "part", "band2", "part2"))
     keys, rest = ["cand", "band", "part"], [c for c in light.columns if c not in ("band", "part")]
-    left = light.join(pairs, keys).select(*rest, F.concat_ws(":", "band", "part", "band2", "part2").alias("tile"))
+    left = light.join(pairs, keys).select(*rest, F.concat_ws(":", "band", "part", "band2", "part2").alias("tile"), F.lit(0).alias("side"))
     turned = pairs.select("cand", F.col("band").alias("band1"), F.col("part").alias("part1"), F.col("band2").alias("band"), F.col("part2").alias("part"))
-    right = light.join(turned, keys).filter("band1 <> band or part1 <> part").select(*rest, F.concat_ws(":", "band1", "part1", "band", "part").alias("tile"))
+    right = light.join(turned, keys).select(*rest, F.concat_ws(":", "band1", "part1", "band", "part").alias("tile"), F.lit(1).alias("side"))
     return left.unionByName(right)
 
 
@@ -338,59 +354,46 @@ def _partnered(light: DataFrame, n_tasks: int, t: Threshold) -> DataFrame:
     return here.unionByName(there.distinct()).distinct()
 
 
-def _cross_links(members: DataFrame, links: DataFrame, n_tasks: int, t: Threshold) -> DataFrame:
-    """Links between blocks of large candidate groups: first among one set per connected part, then among all that is still apart.
+def _cross_links(members: DataFrame, t: Threshold) -> DataFrame:
+    """Rows (a, b, n) of `linked` for the pairs between blocks of large candidate groups.
 
-    members: (cand, band, parts, part, node, n, bits, elements).  Only bitmaps meet in the tiles of block pairs; pairs that pass the
-    bit count and are not connected are intersected exactly.
+    members: (cand, band, part, node, copies, n, bits, elements).  First only bitmaps meet in the tiles of block pairs; the
+    elements of sets that have a partner on the other side follow, and are intersected in the tile.
     """
-    label = components(links).withColumnRenamed("component", "label")
-    known = saved(members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    heads = known.groupBy("cand", "band", "label").agg(F.min(F.struct("node", "elements")).alias("x"), F.max("parts").alias("parts"))
-    heads = heads.withColumn("part", F.pmod(F.xxhash64("label", F.lit(1)), "parts").cast("int")).select("cand", "band", "part", F.col("x.node").alias("node"), F.col("x.elements").alias("elements"))
-    links = saved(links.unionByName(_block_links(heads, n_tasks, t)))
-    label = components(links).withColumnRenamed("component", "label")
-    known = known.drop("label").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    # groups that are one connected part need no further look
-    apart = known.groupBy("cand").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("cand")
-    light = known.join(apart, "cand", "left_semi").select("cand", "band", "part", "node", "n", "label", "bits", F.lit(True).alias("todo"))
+    light = members.select("cand", "band", "part", "node", "n", "bits", F.lit(True).alias("todo"))
 
     def screen(key, rows):
-        n, label, names = rows["n"].to_numpy(), rows["label"].to_numpy(), rows["node"].to_numpy()
+        n, side = rows["n"].to_numpy(), rows["side"].to_numpy()
         bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, BITMAP_WORDS)
-        a, b = [], []
-        for i in range(len(n)):
-            j = np.arange(i + 1, len(n))
-            j = _near(n, bits, i, j[label[j] != label[i]], t)
-            a += [names[i]] * len(j)
-            b += names[j].tolist()
-        return pd.DataFrame({"a": pd.Series(a, dtype=str), "b": pd.Series(b, dtype=str)})
-
-    passed = saved(_facing(light).groupBy("cand", "tile").applyInPandas(screen, "a string, b string").distinct())
-    arrays = known.select("node", "elements")
-    both = passed.join(arrays.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(arrays.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
-
-    def exact(batches):
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                ok.append(len(np.intersect1d(x, y, assume_unique=True)) >= t.overlap(len(x) + len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        found, right = np.zeros(len(n), bool), np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0):
+            j = _near(n, bits, i, right, t)
+            found[j] = True
+            found[i] = len(j) > 0
+        return rows[found][["cand", "tile", "side", "node"]]
+
+    kind = light.schema["cand"].dataType.simpleString()
+    met = saved(_facing(light).groupBy("cand", "tile").applyInPandas(screen, f"cand {kind}, tile string, side int, node string"))
+
+    def exact(key, rows):
+        sets = [np.frombuffer(x, np.uint64) for x in rows["elements"]]
+        out = linked(rows["node"].tolist(), rows["copies"].tolist(), sets, t, rows["side"].tolist())
+        return pd.DataFrame({c: pd.Series([x[k] for x in out], dtype=kind) for k, (c, kind) in enumerate((("a", object), ("b", object), ("n", "Int64")))})
 
-    return links.unionByName(both.select("a", "b", "x", "y").mapInArrow(exact, "a string, b string"))
+    facing = met.join(members.select("node", "copies", "elements"), "node")
+    return facing.groupBy("cand", "tile").applyInPandas(exact, "a string, b string, n bigint")
 
 
 def similar_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """Per row of `docs`: doc_id, n_shingles, class_id and component_id (smallest doc_id reachable by links, itself included).
+    """Per row of `docs`: doc_id, n_shingles, class_id, component_id (smallest doc_id reachable by links, itself included) and
+    n_links (how many other rows it links with).
 
     Documents link if the Jaccard similarity of their sets of `width`-word shingles is num / den or more.  Words stand between
     ASCII white space, A-Z count as a-z; with fewer words than `width` the whole sequence is the one shingle.  class_id is the
     smallest doc_id with the same set.
 
     Null and empty texts, and texts without words, have an empty set and link with nothing.  Rows with null doc_id link with
-    nothing (class and component null).  Repeated rows are copies.  Ties don't matter.  Empty table: no rows.  Other columns
+    nothing (class and component null).  Repeated rows are copies, and link with each other.  Ties don't matter.  Empty table: no rows.  Other columns
     are ignored.
     """
     t = Threshold(num, den)
@@ -402,9 +405,9 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10)
     edges = passed.filter("kind = 2").select(F.col("h1").alias("a"), F.col("h2").alias("b")).unionByName(bucket_edges(passed.filter("kind = 1"), n_buckets))
     candidates = components(edges).withColumnRenamed("component", "cand")
 
-    classes = saved(sets.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    classes = saved(sets.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")))
     low = F.col("h1").bitwiseAND(F.lit(int(LOW48)))
-    members = classes.withColumn("low", low).join(candidates, F.col("low") == F.col("node")).select("cand", "doc_id", "h1", "h2", "n", "bits")
+    members = classes.withColumn("low", low).join(candidates, F.col("low") == F.col("node")).select("cand", "doc_id", "h1", "h2", "n", "bits", "copies")
     band = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
     whole = members.groupBy("cand").agg(F.count("*").alias("all"), F.sum("n").alias("all_n")).filter("all > 1")
     banded = members.groupBy("cand", band.alias("band")).agg(F.count("*").alias("size"), F.sum("n").alias("size_n"))
@@ -416,26 +419,30 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10)
     members = saved(
         members.select(
             "cand", "single", F.when(F.col("single"), F.lit(0)).otherwise(F.col("band")).cast("int").alias("band"), "parts",
-            F.pmod(F.xxhash64("h1", "h2"), "parts").cast("int").alias("part"), node.alias("node"), "doc_id", "h1", "h2", "n", "bits",
+            F.pmod(F.xxhash64("h1", "h2"), "parts").cast("int").alias("part"), node.alias("node"), "doc_id", "h1", "h2", "n", "bits", "copies",
         )
     )
     members = saved(members.join(_partnered(members, n_buckets, t), "node", "left_semi"))
     with_sets = saved(members.join(_elements(docs, members.select("doc_id"), width), ["doc_id", "h1", "h2"]))
     links = saved(_block_links(with_sets, n_buckets, t))
     if not members.filter("not single").isEmpty():
-        big = with_sets.filter("not single").select("cand", "band", "parts", "part", "node", "n", "bits", "elements").dropDuplicates(["cand", "node"])
-        links = saved(_cross_links(big, links, n_buckets, t))
-    merged = components(links)
+        big = with_sets.filter("not single").select("cand", "band", "part", "node", "copies", "n", "bits", "elements").dropDuplicates(["cand", "node"])
+        links = saved(links.unionByName(_cross_links(big, t)))
+    merged = components(links.filter("b is not null"))
+    partners = links.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("partners"))
     named = classes.withColumn("node", node).join(merged, "node").select("component", "h1", "h2", "doc_id")
     least = named.groupBy("component").agg(F.min("doc_id").alias("least"))
     group = named.join(least, "component").select("h1", "h2", "least")
-    of_class = saved(classes.join(group, ["h1", "h2"], "left").select("h1", "h2", F.col("doc_id").alias("class"), F.coalesce("least", "doc_id").alias("group")))
+    n_links = F.col("copies") - 1 + F.coalesce("partners", F.lit(0))
+    of_class = classes.join(group, ["h1", "h2"], "left").withColumn("node", node).join(partners, "node", "left")
+    of_class = saved(of_class.select("h1", "h2", F.col("doc_id").alias("class"), F.coalesce("least", "doc_id").alias("group"), n_links.alias("links")))
     out = sets.join(of_class, ["h1", "h2"], "left")
     own = F.col("n") == 0
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(own | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("class")).alias("class_id"),
         F.when(own | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("group")).alias("component_id"),
+        F.when(own | F.col("doc_id").isNull(), 0).otherwise(F.col("links")).alias("n_links"),
     )
 
 

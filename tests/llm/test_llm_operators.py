@@ -301,6 +301,18 @@ def test_jaccard_groups(spark, empty, monkeypatch, width, num, den, block):
         assert jaccard.similar_groups(empty).isEmpty()
 
 
+@pytest.mark.parametrize("width,num,den,block", [(4, 85, 100, 2000), (5, 8, 10, 3)])
+def test_jaccard_links(spark, monkeypatch, width, num, den, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rows = near_rows()
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    sets = [(d, shingles(t, width)) for d, t in rows]
+    near = lambda i, j: i != j and sets[i][1] and None not in (sets[i][0], sets[j][0]) and den * len(sets[i][1] & sets[j][1]) >= num * len(sets[i][1] | sets[j][1])
+    want = sorted((d or -1, sum(bool(near(i, j)) for j in range(len(sets)))) for i, (d, _) in enumerate(sets))
+    assert max(n for _, n in want) > 2
+    assert as_rows(jaccard.similar_groups(frame, width, num, den), "doc_id", "n_links") == want
+
+
 def test_every_similar_pair_shares_a_tile():
     r = np.random.default_rng(4)
     t = jaccard.Threshold(85, 100)
