@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine with a block-max inverted index.
 
-The vocabulary are the terms whose presence depends on the label (log-likelihood ratio over the labelled sample).  Examples and
-documents are vectors over it, weighted by the terms' document frequencies in the whole corpus.  The index cuts the examples
+Examples and documents are vectors over all terms of the examples, weighted by the terms' document frequencies in the whole
+corpus; terms that speak for the label (log-likelihood ratio over the labelled sample) weigh more.  The index cuts the examples
 into blocks and knows each term's largest weight per block; blocks are scored best bound first, until no bound can reach the
 k-th best example.  Neighbours vote by similarity, and the votes are calibrated on the examples themselves, each left out.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,9 @@ from .decontamination import NORMAL
 from .labelled import fold, training_sample
 from .shared import bounded_batches, saved, text_of
 
-#: Neighbours; examples per block; terms at most; bytes of the word beginnings that count as terms; most examples of a class.
-NEIGHBOURS, BLOCK, VOCABULARY, BEGINNINGS, EXAMPLES_PER_CLASS = 25, 64, 4_096, (5, 7), 6_000
-#: Weight of the prior in a vote; documents of label 1 with a term of the vocabulary, for one of label 0, at least.
+#: Neighbours; examples per block; blocks scored at first; bytes of the word beginnings that count as terms; most examples of a class.
+NEIGHBOURS, BLOCK, FIRST_BLOCKS, BEGINNINGS, EXAMPLES_PER_CLASS = 25, 64, 8, (5, 7), 6_000
+#: Weight of the prior in a vote; documents of label 1 with a term that weighs more, for one of label 0, at least.
 PRIOR_WEIGHT, PURITY = 0.5, 3.0
 
 
@@ -38,9 +38,10 @@ def terms_of(text: bytes) -> Counter:
     return out
 
 
-def vocabulary(sample: DataFrame, n_positive: int, n_negative: int, weight: dict[int, float], most: int = VOCABULARY) -> list[bytes]:
-    """Terms that speak for label 1: by far most documents with the term have it (PURITY; classes weighing as among all labelled rows), and the
-    likelihood ratio is one that chance gives to about one of all terms.  Counted in parts per task, summed by term."""
+def vocabulary(sample: DataFrame, n_positive: int, n_negative: int, weight: dict[int, float]) -> tuple[list[bytes], np.ndarray]:
+    """All terms of the sample and their factors: 1, and more for those that speak for label 1.  By far most documents with such
+    a term have it (PURITY; classes weighing as among all labelled rows); the factor grows by what the likelihood ratio exceeds
+    one that chance gives to about one of all terms.  Counted in parts per task, summed by term."""
 
     def run(batches):
         counts: dict[bytes, list[int]] = {}
@@ -55,7 +56,8 @@ def vocabulary(sample: DataFrame, n_positive: int, n_negative: int, weight: dict
     terms = saved(sample.mapInArrow(run, "term binary, n0 bigint, n1 bigint").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     n_terms = terms.count()
     if not (n_terms and n_positive and n_negative):
-        return []
+        found = terms.select("term").orderBy("term").toArrow()["term"].to_pylist()
+        return found, np.ones(len(found))
     n, n1 = F.col("n0") + F.col("n1"), F.col("n1")
     total, share = float(n_positive + n_negative), n_positive / (n_positive + n_negative)
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
@@ -63,8 +65,10 @@ def vocabulary(sample: DataFrame, n_positive: int, n_negative: int, weight: dict
         part(n1, n * share) + part(F.col("n0"), n * (1 - share))
         + part(n_positive - n1, (total - n) * share) + part(n_negative - F.col("n0"), (total - n) * (1 - share))
     )
-    chosen = terms.withColumn("ratio", ratio).filter((F.col("ratio") > 2 * math.log(n_terms)) & (n1 * weight[1] > PURITY * F.col("n0") * weight[0]))
-    return [bytes(r["term"]) for r in chosen.orderBy(F.desc("ratio"), "term").limit(most).select("term").collect()]
+    speaks = n1 * weight[1] > PURITY * F.col("n0") * weight[0]
+    factor = F.when(speaks, 1 + F.greatest(ratio - 2 * math.log(n_terms), F.lit(0.0))).otherwise(1.0)
+    found = terms.select("term", factor.alias("factor")).orderBy("term").toArrow()
+    return found["term"].to_pylist(), found["factor"].to_numpy()
 
 
 def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarray, int]:
@@ -79,8 +83,8 @@ def document_frequencies(docs: DataFrame, terms: list[bytes]) -> tuple[np.ndarra
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([-1, *seen.keys()], pa.int32()), pa.array([n, *seen.values()], pa.int64())], names=["term", "n"])
 
-    rows = docs.select(text_of().cast("binary").alias("text")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r["term"]: r["n"] for r in rows}
+    rows = docs.select(text_of().cast("binary").alias("text")).mapInArrow(run, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = dict(zip(rows["term"].to_pylist(), rows["n"].to_pylist()))
     return np.array([found.get(i, 0) for i in range(len(terms))], float), found.get(-1, 0)
 
 
@@ -97,17 +101,25 @@ def vector_counts(text: bytes, lookup: dict[bytes, int]) -> dict[int, int]:
     return out
 
 
+def ranges(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges first .. end - 1, one after the other."""
+    n = end - first
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 @dataclass
 class Index:
-    """Postings of the examples by block and term, the terms' largest weights per block, and the labels."""
+    """Postings of the examples by term and block, the terms' largest weights per block, and the labels."""
 
-    lookup: dict[bytes, int]
+    terms: list[bytes]
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    rows: list[list[tuple[np.ndarray, np.ndarray]]]  # block -> term place -> (examples within the block, weights)
-    place: list[dict[int, int]]  # block -> term -> place
-    most: np.ndarray  # terms x blocks
+    example: np.ndarray  # postings by term and example: the example
+    count: np.ndarray  # and how often it has the term
+    df: np.ndarray  # term -> number of postings
+    norm: np.ndarray  # example -> length of its vector before it is 1
+    block: int
     prior: float
     weight: np.ndarray  # of an example of each class, for the share that the sample took of it
     slope: float = 1.0
@@ -116,61 +128,86 @@ class Index:
 
     @classmethod
     def build(cls, terms: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, bytes]], prior: float, weight: dict[int, float], block: int = BLOCK) -> "Index":
-        lookup = {t: i for i, t in enumerate(terms)}
-        self = cls(lookup, idf, np.zeros(0), np.zeros(0), [], [], np.zeros((len(terms), 0)), prior, np.array([weight[0], weight[1]]))
-        vectors = [(doc_id, label, *self.vector(text)) for doc_id, label, text in examples]
-        vectors = [v for v in vectors if len(v[2])]
+        none = np.zeros(0, np.int64)
+        self = cls(terms, idf, none, none, none, none, np.zeros(len(terms), np.int64), none, block, prior, np.array([weight[0], weight[1]]))
+        self.prepare()
+        vectors = [(doc_id, label, *self.counts(text)) for doc_id, label, text in examples]
+        vectors = [v for v in vectors if v[4]]
         # neighbours in the order share their heaviest term, which makes the bounds tight
-        vectors.sort(key=lambda v: (int(v[2][v[3].argmax()]), v[0]))
+        vectors.sort(key=lambda v: (int(v[2][((1 + np.log(v[3])) * idf[v[2]]).argmax()]), v[0]))
         self.ids, self.labels = np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], float)
-        n_blocks = -(-len(vectors) // block)
-        self.most = np.zeros((len(terms), n_blocks))
-        for b in range(n_blocks):
-            lists: dict[int, tuple[list, list]] = {}
-            for i, (_, _, t, w) in enumerate(vectors[b * block : (b + 1) * block]):
-                for term, weight in zip(t.tolist(), w.tolist()):
-                    at, weights = lists.setdefault(term, ([], []))
-                    at.append(i)
-                    weights.append(weight)
-            self.place.append({t: k for k, t in enumerate(lists)})
-            self.rows.append([(np.array(at), np.array(weights)) for at, weights in lists.values()])
-            for t, (_, weights) in lists.items():
-                self.most[t, b] = max(weights)
+        self.norm = np.array([v[4] for v in vectors], float)
+        term = np.concatenate([none, *[v[2] for v in vectors]])
+        example = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors]).astype(np.int64)
+        order = np.lexsort((example, term))
+        narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        self.example, self.count = narrow(example[order]), narrow(np.concatenate([none, *[v[3] for v in vectors]])[order])
+        self.df = narrow(np.bincount(term, minlength=len(terms)))
+        self.prepare()
         return self
 
+    def prepare(self) -> None:
+        """What follows from the fields: weights of the postings, runs of postings of one term and block with their largest weight."""
+        self.lookup = {t: i for i, t in enumerate(self.terms)}
+        term = np.repeat(np.arange(len(self.df)), self.df)
+        self.at_weight = (1 + np.log(self.count.astype(float))) * self.idf[term] / self.norm[self.example]
+        of = (self.example // self.block).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (of[1:] != of[:-1])))) if len(term) else np.zeros(0, np.int64)
+        self.first, self.run_block = np.concatenate((starts, [len(term)])), of[starts].astype(np.int32)
+        self.most = np.maximum.reduceat(self.at_weight, starts) if len(starts) else np.zeros(0)
+        self.run = np.searchsorted(term[starts], np.arange(len(self.df) + 1))
+
+    def __getstate__(self) -> dict:
+        """The fields only, in a narrow form: a broadcast lies on every executor's disk."""
+        return {f.name: getattr(self, f.name) for f in fields(self)} | {"terms": b" ".join(self.terms)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state | {"terms": state["terms"].split()})
+        self.prepare()
+
+    def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray, float]:
+        """(terms, counts) of a text, and the length of its vector before it is 1."""
+        found = vector_counts(text, self.lookup)
+        terms = np.array(sorted(found), np.int64)
+        count = np.array([found[t] for t in terms.tolist()], np.int64)
+        w = (1 + np.log(count.astype(float))) * self.idf[terms]
+        return terms, count, math.sqrt(w @ w)
+
     def vector(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(terms, weights) of a text: (1 + log count) * idf, of length 1."""
-        counts = vector_counts(text, self.lookup)
-        if not counts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.array(sorted(counts))
-        w = np.array([1 + math.log(counts[t]) for t in terms.tolist()]) * self.idf[terms]
-        norm = math.sqrt(w @ w)
-        return (terms, w / norm) if norm else (terms[:0], w[:0])
+        terms, count, norm = self.counts(text)
+        return (terms, (1 + np.log(count.astype(float))) * self.idf[terms] / norm) if norm else (terms[:0], np.zeros(0))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, skip: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest examples with a term in common; ties go to the smaller example number."""
-        size = BLOCK
-        bounds = weights @ self.most[terms] if len(terms) else np.zeros(0)
         found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(found) == k and bounds[b] < least - 1e-12:
+        if not len(terms) or not len(self.example):
+            return found, cosines
+        runs, weight = ranges(self.run[terms], self.run[terms + 1]), np.repeat(weights, self.run[terms + 1] - self.run[terms])
+        block = self.run_block[runs]
+        bounds = np.bincount(block, weight * self.most[runs])
+        order, done, step = np.argsort(-bounds, kind="stable"), 0, FIRST_BLOCKS
+        while done < len(order):
+            take = order[done : done + step]
+            take = take[(bounds[take] > 0) & (bounds[take] >= least - 1e-12)]
+            if not len(take):
                 break
-            score = np.zeros(size)
-            place, rows = self.place[b], self.rows[b]
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                p = place.get(t)
-                if p is not None:
-                    at, weight = rows[p]
-                    score[at] += w * weight
-            new = np.flatnonzero(score)
-            number = new + b * size
-            if skip is not None:
-                new, number = new[number != skip], number[number != skip]
-            found, cosines = np.concatenate([found, number]), np.concatenate([cosines, score[new]])
+            chosen = np.zeros(len(bounds), bool)
+            chosen[take] = True
+            use = chosen[block]
+            first, end = self.first[runs[use]], self.first[runs[use] + 1]
+            at = ranges(first, end)
+            score = np.bincount(self.example[at], np.repeat(weight[use], end - first) * self.at_weight[at])
+            if skip is not None and skip < len(score):
+                score[skip] = 0
+            number = np.flatnonzero(score)
+            if len(number) > 4 * k:  # ties at the end stay in
+                number = number[score[number] >= np.partition(score[number], -k)[-k] - 1e-11]
+            found, cosines = np.concatenate([found, number]), np.concatenate([cosines, score[number]])
             best = np.lexsort((found, -np.round(cosines, 12)))[:k]
             found, cosines = found[best], cosines[best]
             least = cosines[-1] if len(found) == k else 0.0
+            done, step = done + step, 4 * step
         return found, cosines
 
     def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
@@ -222,9 +259,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS)
     n = Counter(label for _, label, _ in examples)
     weight = {k: totals.get(k, 0) / n[k] if n[k] else 0.0 for k in (0, 1)}
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
-    terms = vocabulary(sample, n[1], n[0], weight)
+    terms, factor = vocabulary(sample, n[1], n[0], weight)
     df, n_docs = document_frequencies(docs, terms)
-    index = Index.build(terms, np.log((1 + n_docs) / (1 + df)), examples, prior, weight)
+    index = Index.build(terms, np.log((1 + n_docs) / (1 + df)) * factor, examples, prior, weight)
     index.calibrate([(d, text) for d, _, text in examples])
     # texts without any term: the share of label 1 among such examples
     held = set(index.ids.tolist())
@@ -238,7 +275,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     """Per document: doc_id, score (probability of label 1), predicted (1 from 0.5 on), evidence (nearest examples: doc_id, label,
     cosine); whole texts, no shuffle.
 
-    Null and empty texts, and texts without a term of the vocabulary, have no evidence and the share of label 1 among labelled
+    Null and empty texts, and texts without a term of any example, have no evidence and the share of label 1 among labelled
     texts of that kind.  Repeated rows and null ids are scored row by row.  Empty table: no rows.  Other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(index)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clonespan.llm import decontamination, jaccard, lines, mixing, quality_net, rules, sharding, shared, substrings, tokens, toxicity, warc
+from clonespan.llm import decontamination, jaccard, labelled, lines, mixing, quality_net, rules, sharding, shared, substrings, tokens, toxicity, warc
 from clonespan.llm.shared import components, scratch
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -215,6 +215,19 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(odd.limit(0), index).isEmpty()
 
 
+def test_examples_share_ordinary_words(spark):
+    rows = [(i, f"plain{i} common words" + " bad" * (i % 4 == 0)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    index = toxicity.fit(docs, labels)
+    usable = [x["doc_id"] for x in docs.filter(labelled.fold(5) != 0).collect()]
+    assert sorted(index.ids.tolist()) == usable
+    clean = [i for i in usable if i % 4]
+    for i in clean:  # no term speaks for the label here, the nearest example is the one with the same word
+        _, found, _ = index.judge(f"plain{i} other".encode())
+        assert int(index.ids[found[0]]) == i
+
+
 def test_classifiers_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id bigint, text string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
