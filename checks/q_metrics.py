@@ -96,6 +96,11 @@ def _(v):
     return M.threshold_rules(v.preds.filter("model = 'M2'"), ["outer_repeat"])
 
 
+@query("eva11_model_repeat_thresholds", "model outer_repeat rule threshold:8", f"select * from ({rule_sql('preds', 'model, outer_repeat')}) r")
+def _(v):
+    return M.threshold_rules(v.preds, ["model", "outer_repeat"])
+
+
 @query("eva12_repeat_metrics", "outer_repeat model roc_auc:8 pr_auc:8 " + RATES, "select * from rep_metrics")
 def _(v):
     return rep(v)

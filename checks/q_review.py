@@ -110,6 +110,15 @@ def _(v):
     return J.grid_completion(obs, {"l1_ratio_alpha": ALPHAS, "lambda": LAMBDAS}, "count")
 
 
+@query("join7_model_grid_completion", "model l1_ratio_alpha:4 lambda:4 count:i percentage:8 selection_frequency:8", f"""
+    select t.model, a.a as l1_ratio_alpha, b.l as "lambda", coalesce(c.n, 0) as count, 100 * coalesce(c.n, 0) / t.n as percentage, coalesce(c.n, 0) / t.n as selection_frequency
+    from (values (0.1), (0.3), (0.5), (0.9)) a(a) cross join (values {_lam}) b(l) cross join (select model, count(*) as n from params group by 1) t
+    left join (select model, l1_ratio_alpha, "lambda", count(*) as n from params group by 1, 2, 3) c on c.model = t.model and c.l1_ratio_alpha = a.a and c."lambda" = b.l""")
+def _(v):  # an alpha of 0.3 does not occur
+    obs = v.params.groupBy("model", "l1_ratio_alpha", "lambda").agg(F.count(F.lit(1)).alias("count"))
+    return J.grid_completion(obs, {"l1_ratio_alpha": sorted([*ALPHAS, 0.3]), "lambda": LAMBDAS}, "count", ["model"])
+
+
 @query("eva23_threshold_distribution", "model n:i mean:8 sd:8 min:8 q05:8 q10:8 q25:8 median:8 q75:8 q90:8 q95:8 max:8 IQR:8", """
     select *, q75 - q25 as "IQR" from (select model, count(*) as n, avg(t) as mean, stddev_samp(t) as sd, min(t) as min, quantile_cont(t, 0.05) as q05, quantile_cont(t, 0.1) as q10, quantile_cont(t, 0.25) as q25, quantile_cont(t, 0.5) as median,
       quantile_cont(t, 0.75) as q75, quantile_cont(t, 0.9) as q90, quantile_cont(t, 0.95) as q95, max(t) as max from (select model, cast(threshold as double) as t from params) p group by 1) x""")

@@ -87,19 +87,19 @@ def paired_blocks(
     return reduce(lambda a, b: a.join(b, patient), parts)
 
 
-def grid_completion(observed: DataFrame, axes: dict[str, list[float]], count: str) -> DataFrame:
-    """All cells of a parameter grid with their observed counts, 0 where a cell never occurred.
+def grid_completion(observed: DataFrame, axes: dict[str, list[float]], count: str, keys: list[str] | None = None) -> DataFrame:
+    """All cells of a parameter grid, per key, with their observed counts, 0 where a cell never occurred.
 
-    The counts fold to one map row and the grid is exploded from literals, so the grid is never cross-joined to data.
+    The counts fold to one map row per key and the grid is exploded from literals, so the grid is never cross-joined to data.
     """
-    names = list(axes)
+    names, keys = list(axes), keys or []
     key = F.concat_ws("|", *[F.col(n).cast("string") for n in names])
-    folded = observed.groupBy(*names).agg(F.sum(count).alias("_n")).agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col("_n").alias("n")))).alias("_m"), F.sum("_n").alias("_total"))
+    folded = observed.groupBy(*keys, *names).agg(F.sum(count).alias("_n")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), F.col("_n").alias("n")))).alias("_m"), F.sum("_n").alias("_total"))
     out = folded
     for n in names:
         out = out.withColumn(n, F.explode(F.array(*[F.lit(float(x)) for x in axes[n]])))
     n = F.coalesce(F.col("_m")[key], F.lit(0)).cast("bigint")
-    return out.select(*names, n.alias(count), (n / F.col("_total") * 100.0).alias("percentage"), (n / F.col("_total")).alias("selection_frequency"))
+    return out.select(*keys, *names, n.alias(count), (n / F.col("_total") * 100.0).alias("percentage"), (n / F.col("_total")).alias("selection_frequency"))
 
 
 def compare_with_tolerance(a: DataFrame, b: DataFrame, key: list[str], columns: list[str], tol: float = 1e-10) -> DataFrame:

@@ -24,3 +24,9 @@ def test_query_equals_sql(spark, con, name):
 
 def test_registry_is_consistent():
     assert set(ORACLES) <= set(QUERIES) and len(QUERIES) > 200
+
+
+@pytest.mark.parametrize("name", ["join7_model_grid_completion", "eva11_model_repeat_thresholds"])
+def test_query_covers_all_models(spark, con, name):
+    assert compare(spark, con, name, SF).startswith("ok")
+    assert QUERIES[name](spark, SF).select("model").distinct().count() > 1
