@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, lines, mixing, quality_net, rules, sharding, substrings, toxicity, warc
+from . import decontamination, infill, jaccard, lines, mixing, periodic, quality_net, rules, sharding, simhash, substrings, toxicity, warc
 from .shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,3 +175,60 @@ def op8_quality_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
+
+
+@query()
+def op11_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query(rf"""
+with h as (  -- crc32 of the decimal doc_id: each byte is taken in, then shifted out bit by bit
+  select doc_id, {WORDS} as w, len({WORDS})::bigint as n,
+         xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''),
+           lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end)) as h
+  from documents),
+g as (select *, h // 10 as g from h), a as (select *, g % greatest(n, 1) as a from g), p as (select *, 1 + (n - a) // (3 + g % 8) as p from a),
+d as (select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: w[case when i < a then i else a + (i - a) % p end + 1]) else w end as w from p),
+t as (select doc_id, n, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from d),
+m as (select x.doc_id, y.i - x.i as q, x.i from t x join t y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and (y.i - x.i) * 4 <= x.n),
+b as (select *, i - row_number() over (partition by doc_id, q order by i) as b from m),
+s as (select doc_id, q, min(i) as start, count(*) + q as length from b group by doc_id, q, b having count(*) + q >= greatest(6, 4 * q)),
+r as (select doc_id, start::bigint as start, length::bigint as length, min(q)::bigint as period from s group by all),
+best as (select * from r qualify row_number() over (partition by doc_id order by length::double / period desc, start, period) = 1),
+listed as (select doc_id, count(*)::bigint as n_runs, string_agg(format('{{}},{{}},{{}}' || chr(10), start, length, period), '' order by start, period) as runs from r group by doc_id),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from r),
+kept as (select doc_id, string_agg(word, ' ' order by i) filter (gone.i is null) as kept from t left join gone using (doc_id, i) group by doc_id)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, best.start, best.length, best.period, 1000 * best.length // best.period as exponent_milli,
+       sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256
+from d left join best using (doc_id) left join listed using (doc_id) left join kept using (doc_id)
+""")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"))
+    out = periodic.periodic_runs(docs.withColumn("text", periodic.repeating(F.col("doc_id"), F.col("text"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return out.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query(r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || doc_id::varchar) as s from documents),
+h as (select *, len(u)::bigint as n, ('0x' || s[1:8])::bigint as h1, ('0x' || s[9:16])::bigint as h2, ('0x' || s[17:24])::bigint as h3, ('0x' || s[25:32])::bigint as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as i, greatest(h1 % (n + 1), h2 % (n + 1)) as j,
+             case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from h),
+x as (select *, array_to_string(u[1:i], '') as prefix, array_to_string(u[i + 1:j], '') as middle, array_to_string(u[j + 1:n], '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(t) as restored_sha256
+from x
+""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+        sha(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
