@@ -154,7 +154,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataF
     fingerprints differ in at most `max_bits` bits (0 to 15).
 
     Null and empty texts, and texts without words, have fingerprint 0 and link like any other.  Rows with null doc_id have a
-    fingerprint, no class or component, and connect nothing.  Repeated rows are copies.  Ties don't matter.  Empty table: no rows.
+    fingerprint, no class or component, and connect nothing.  Repeated rows are copies; rows that share a doc_id but not the text are
+    grouped each by its own text.  Ties don't matter.  Empty table: no rows.
     Other columns are ignored.
     """
     if not 0 <= max_bits <= 15:
