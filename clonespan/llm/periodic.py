@@ -157,6 +157,6 @@ def repeating(doc_id: Column, text: Column) -> Column:
     g = F.floor(h / 10)
     a = g % n
     p = 1 + F.floor((n - a) / (3 + g % 8))
-    picked = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p))
-    planted = F.array_join(F.transform(picked, lambda i: F.get(words, i.cast("int"))), " ")
+    block = F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int"))
+    planted = F.array_join(F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(F.flatten(block), F.lit(1), (n - a).cast("int"))), " ")
     return F.when((h % 10 == 0) & (n > 0), planted).otherwise(text)
