@@ -2,9 +2,11 @@
 
 1. A document's set is that of its word shingles' 64-bit hashes.  Equal sets are one class from here on.
 2. Two sets with Jaccard similarity of t or more differ in at most d elements, d known for a band of sizes.  The hash space is
-   cut into more than d slices for the band; a similar pair agrees on all elements of at least one slice that is not empty.
-   (band, slice, content) is a tile; documents that meet in a tile are candidates.  No similar pair is missed.
-3. Candidate components are cut into blocks of bounded size.  First only bitmaps are dealt to the blocks: sets that no other
+   cut into more than d slices for the band; a similar pair agrees on all elements of at least one slice.  Sets that have too
+   few slices with content to agree on one of these are cut finer.  (band, level, slice, content) is a tile; documents that meet
+   in a tile are candidates.  No similar pair is missed.
+   A pair that meets is a candidate if sizes and bitmaps allow it; strangers that only share a passage are parted there.
+3. Components of candidates are cut into blocks of bounded size.  First only bitmaps are dealt to the blocks: sets that no other
    set of the component can reach, by the bit counts and sizes, are done.  Of the others the elements follow.  Within a block, pairs of fitting size whose bitmaps' differing
    bits leave enough overlap are intersected exactly.  Between blocks the same bit counts tell which sets have a partner there;
    their elements meet and are intersected.  Every similar pair of classes is found once.  Pairs are counted where they are
@@ -21,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, components, saved, text_of
+from .shared import bounded_batches, components, own_tables, saved, text_of
 from .tokens import Words, bloom_has, bloom_of, mix, pieces, ranges_hash
 
-#: Growth of the size bands; text bytes that one bucket of tiles is sized for; sets and elements of a block; words of a bitmap.
-BAND_GROWTH, BUCKET_TEXT, BLOCK_SETS, BLOCK_ELEMENTS, BITMAP_WORDS = 1.4, 20 << 20, 2_000, 2_000_000, 8
+#: Growth of the size bands; levels of slices; text bytes that one bucket of tiles is sized for; sets and elements of a block; words of a bitmap; most tasks of a shuffle;
+#: most nodes of a tile whose pairs are listed.
+BAND_GROWTH, LEVELS, BUCKET_TEXT, BLOCK_SETS, BLOCK_ELEMENTS, BITMAP_WORDS, MOST_TASKS, CROWD = 1.4, 4, 20 << 20, 2_000, 2_000_000, 16, 20_000, 16
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -46,13 +49,10 @@ class Threshold:
     def most_different(self, a: int, b: int) -> int:
         return (self.den - self.num) * (a + b) // (self.num + self.den)
 
-    def slices(self, band: int) -> int:
-        """Slices of a band: one more than can differ, and some for slices that are empty; 0 if only equal sets are similar."""
+    def slices(self, band: int, level: int = 0) -> int:
+        """Slices of a band: one more than can differ, and some for slices that are empty; every level has half as many again."""
         d = self.differ[band]
-        return d + 1 + self.spare(band) if d else 0
-
-    def spare(self, band: int) -> int:
-        return 2 + self.differ[band] // 25
+        return (d + 3 + d // 8) * 3**level // 2**level
 
 
 def shingle_sets(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,53 +86,59 @@ def digests(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tiles(h: np.ndarray, first: np.ndarray, t: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """(tile hash, set index) of all sets: those of a set's own band, and those of the band below if it reaches into it."""
+    """(tile hash, set index) of all sets: those of a set's own band, and those of the band below if it reaches into it.
+
+    A set with no more slices that hold something than elements may differ is also cut finer, at last into its elements.  Two
+    similar sets that agree on empty slices only are both such sets, so they meet further down, where every slice has content.
+    """
     n = np.diff(first)
     lows = np.array(t.lows)
     band = np.searchsorted(lows, n, "right") - 1
+    differ = np.array(t.differ)
     out_tile, out_set = [], []
     for below in (0, 1):
         b = band - below
         use = (n > 0) & (b >= 0)
         if below:
             use &= n * t.num <= (lows[np.maximum(band, 0)] - 1) * t.den
-        parts = np.array([t.slices(k) for k in range(int(band.max(initial=0)) + 1)], np.int64)
-        use &= parts[np.maximum(b, 0)] > 0
+        use &= differ[np.maximum(b, 0)] > 0
         sets = np.flatnonzero(use)
-        if not len(sets):
-            continue
-        m = parts[b[sets]]
-        owner = np.repeat(np.arange(len(sets)), n[sets])
-        elements = h if len(sets) == len(n) else h[np.concatenate([np.arange(first[s], first[s + 1]) for s in sets])]
-        piece = ((elements >> np.uint64(32)) * m[owner].astype(np.uint64)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]) | (owner[1:] != owner[:-1]))))
-        content = sums(mix(elements), np.concatenate((starts, [len(elements)])))
-        who = owner[starts]
-        out_tile.append(mix(content + mix(piece[starts] * np.uint64(1 << 16) + b[sets][who].astype(np.uint64))))
-        out_set.append(sets[who])
-        # a set with more empty slices than are spare also meets others in those
-        empty = m - np.bincount(who, minlength=len(sets))
-        spare = np.array([t.spare(k) for k in range(len(parts))])[b[sets]]
-        for s in np.flatnonzero(empty > spare):
-            mine = np.ones(m[s], bool)
-            mine[piece[starts[who == s]].astype(np.int64)] = False
-            blank = np.flatnonzero(mine).astype(np.uint64)
-            out_tile.append(mix(mix(blank * np.uint64(1 << 16) + np.uint64(b[sets[s]]) + np.uint64(1 << 60))))
-            out_set.append(np.full(len(blank), sets[s]))
+        for level in range(LEVELS):
+            if not len(sets):
+                break
+            owner = np.repeat(np.arange(len(sets)), n[sets])
+            elements = h[np.repeat(first[sets] - (np.cumsum(n[sets]) - n[sets]), n[sets]) + np.arange(len(owner))]
+            if level < LEVELS - 1:
+                m = np.array([t.slices(k, level) for k in range(int(b[sets].max()) + 1)], np.uint64)[b[sets]]
+                piece = ((elements >> np.uint64(32)) * m[owner]) >> np.uint64(32)
+                starts = np.flatnonzero(np.concatenate(([True], (piece[1:] != piece[:-1]) | (owner[1:] != owner[:-1]))))
+            else:
+                piece, starts = np.zeros(len(elements), np.uint64), np.arange(len(elements))
+            who = owner[starts]
+            where = piece[starts] * np.uint64(1 << 16) + b[sets][who].astype(np.uint64) + np.uint64(level << 12)
+            out_tile.append(mix(sums(mix(elements), np.concatenate((starts, [len(elements)]))) + mix(where)))
+            out_set.append(sets[who])
+            sets = sets[np.bincount(who, minlength=len(sets)) <= differ[b[sets]]]
     if not out_tile:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out_tile), np.concatenate(out_set)
 
 
-def stars(tile: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per tile an edge from every node to the smallest; (a, b) without repetition, and the places of the smallest nodes."""
+def met(tile: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tile, node) in order and without repetition, and how many nodes each row's tile has."""
     order = np.lexsort((node, tile))
     t, v = tile[order], node[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (v[1:] != v[:-1])
+    t, v = t[new], v[new]
     heads = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, np.int64)
-    least = np.repeat(v[heads], np.diff(np.concatenate((heads, [len(t)]))))
-    differ = v != least
-    pairs = np.unique(np.stack([v[differ], least[differ]], axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1], order[heads]
+    sizes = np.diff(np.concatenate((heads, [len(t)])))
+    return t, v, np.repeat(sizes, sizes)
+
+
+def packed_tiles(tile: np.ndarray, node: np.ndarray) -> bytes:
+    """6 bytes of each tile and 6 of each node (chance hits are harmless here)."""
+    return np.concatenate([tile, node]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
 _SIGNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("blob", pa.binary())])
@@ -146,11 +152,8 @@ def _rows(kind: int, n_rows: int, **columns) -> pa.RecordBatch:
 
 
 def signed(docs: DataFrame, width: int, t: Threshold, n_buckets: int) -> DataFrame:
-    """One pass over the texts.  kind 0: a document's set (n, digests, bitmap); kind 1: packed tiles for bucket n; kind 2: candidate edges.
-
-    Tiles that several documents of a piece share become edges at once and go on with one document, so that a tile of many
-    documents has a row per piece of text only.  Packed: 6 bytes of tile and 6 of set digest (chance hits are harmless here).
-    """
+    """One pass over the texts.  kind 0: a document's set (n, digests, bitmap); kind 1: packed tiles for bucket n; kind 3: packed
+    tiles that are crowded within a piece of text, less the nodes that let their bucket know."""
 
     def run(batches):
         for batch in batches:
@@ -162,21 +165,17 @@ def signed(docs: DataFrame, width: int, t: Threshold, n_buckets: int) -> DataFra
                 maps = pa.array([bitmap(h[s:e]).tobytes() for s, e in zip(first[:-1], first[1:])], pa.binary())
                 yield _rows(0, len(n), doc_id=ids.slice(w.rows.start, len(n)), n=pa.array(n), h1=pa.array(h1.view(np.int64)), h2=pa.array(h2.view(np.int64)), blob=maps)
                 tile, owner = tiles(h, first, t)
-                node = h1[owner] & LOW48
-                a, b, heads = stars(tile, node)
-                if len(a):
-                    yield _rows(2, len(a), h1=pa.array(a.view(np.int64)), h2=pa.array(b.view(np.int64)))
-                tile, node = tile[heads], node[heads]
-                bucket = ((tile >> np.uint64(48)) * np.uint64(n_buckets)) >> np.uint64(16)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                blobs, numbers = [], []
-                for part in np.split(order, cuts) if len(order) else []:
-                    packed = np.concatenate([tile[part], node[part]]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                    blobs.append(packed.tobytes())
-                    numbers.append(int(bucket[part[0]]))
-                if blobs:
-                    yield _rows(1, len(blobs), n=pa.array(numbers, pa.int64()), blob=pa.array(blobs, pa.binary()))
+                tile, node, size = met(tile, h1[owner] & LOW48)
+                place = np.arange(len(tile)) - np.searchsorted(tile, tile)
+                over = (size > CROWD) & (place > CROWD)
+                if over.any():
+                    yield _rows(3, 1, blob=pa.array([packed_tiles(tile[over], node[over])], pa.binary()))
+                tile, node = tile[~over], node[~over]
+                bucket = ((tile >> np.uint64(32)) * np.uint64(n_buckets)) >> np.uint64(32)
+                parts = np.split(np.arange(len(bucket)), np.flatnonzero(np.diff(bucket)) + 1) if len(bucket) else []
+                if parts:
+                    blobs = [packed_tiles(tile[part], node[part]) for part in parts]
+                    yield _rows(1, len(blobs), n=pa.array([int(bucket[part[0]]) for part in parts], pa.int64()), blob=pa.array(blobs, pa.binary()))
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().cast("binary").alias("_text")).mapInArrow(run, _SIGNED_SQL)
 
@@ -188,17 +187,99 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return wide.view("<u8").reshape(2, -1)
 
 
-def bucket_edges(packed: DataFrame, n_buckets: int) -> DataFrame:
-    """Candidate edges (a, b) of the tiles of each bucket; a task holds the tiles of its buckets as two arrays."""
+def meetings(packed: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows (crowded, a, b) of the tiles of each bucket: the pairs (a, b) of nodes that meet in a tile, and of crowded tiles the
+    members (tile, node).  A task holds the tiles of one bucket at a time as two arrays."""
+
+    def rows(crowded, a, b):
+        kind = pa.array(np.full(len(a), crowded, bool))
+        return pa.RecordBatch.from_arrays([kind, pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["crowded", "a", "b"])
+
+    def solve(blobs):
+        tile, node, size = met(*np.concatenate([_unpacked(x) for x in blobs], axis=1))
+        yield rows(True, tile[size > CROWD], node[size > CROWD])
+        few = (size > 1) & (size <= CROWD)
+        tile, node = tile[few], node[few]
+        pairs = [np.zeros((0, 2), np.uint64)]
+        for k in range(1, CROWD):
+            same = np.flatnonzero(tile[k:] == tile[:-k])
+            pairs.append(np.stack([node[same], node[same + k]], axis=1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        yield rows(False, pairs[:, 0].copy(), pairs[:, 1].copy())
+
+    def run(batches):
+        now, blobs = None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+                if bucket != now and blobs:
+                    yield from solve(blobs)
+                    blobs = []
+                now = bucket
+                blobs.append(blob)
+        if blobs:
+            yield from solve(blobs)
+
+    dealt = packed.select(F.col("n").alias("bucket"), "blob").repartition(min(n_buckets, MOST_TASKS), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "crowded boolean, a bigint, b bigint")
+
+
+def _held_apart(packed: DataFrame) -> DataFrame:
+    """(crowded, a, b) of the packed tiles of kind 3."""
 
     def run(batches):
-        parts = [_unpacked(x) for b in batches for x in b.column("blob").to_pylist()]
-        if parts:
-            tile, node = np.concatenate(parts, axis=1)
-            a, b, _ = stars(tile, node)
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                tile, node = _unpacked(blob)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tile), bool)), pa.array(tile.view(np.int64)), pa.array(node.view(np.int64))], names=["crowded", "a", "b"])
 
-    return packed.select(F.col("n").alias("bucket"), "blob").repartition(n_buckets, "bucket").select("blob").mapInArrow(run, "a bigint, b bigint")
+    return packed.select("blob").mapInArrow(run, "crowded boolean, a bigint, b bigint")
+
+
+def candidate_edges(met: DataFrame, classes: DataFrame, n_tasks: int, t: Threshold) -> DataFrame:
+    """Edges (a, b) that connect the nodes as all pairs do that meet in a tile and whose sizes and bitmaps allow a link.
+
+    classes: (node, n, bits).  Pairs of tiles of few nodes are looked at once each, whatever tiles they share.  The nodes of a
+    crowded tile are cut into blocks of bounded size that face each other; there, nodes that are connected already are skipped.
+    """
+    one = classes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
+    two = classes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    pairs = met.filter("not crowded").select("a", "b").distinct().join(one, "a").join(two, "b")
+    pairs = pairs.filter((F.least("n1", "n2") * t.den >= F.greatest("n1", "n2") * t.num)).select("a", "b", "n1", "n2", "bits1", "bits2")
+
+    def words(column):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+
+    def fitting(batches):
+        for b in batches:
+            total = b.column("n1").to_numpy() + b.column("n2").to_numpy()
+            near = np.bitwise_count(words(b.column("bits1")) ^ words(b.column("bits2"))).sum(axis=1) <= total - 2 * t.overlap(total)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(near))
+
+    crowd = saved(met.filter("crowded").select(F.col("a").alias("tile"), F.col("b").alias("node")).distinct())
+    blocks = crowd.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = crowd.join(blocks, "tile").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.col("tile").alias("cand"), F.least("own", "other").alias("band"), F.greatest("own", "other").alias("part"), "node")
+    dealt = dealt.join(classes, "node")
+
+    def solve(rows):
+        if len(rows) < 2:
+            return []
+        rows = sorted(rows)
+        names, n = np.array([x[1] for x in rows]), np.array([x[0] for x in rows])
+        bits = np.frombuffer(b"".join(x[2] for x in rows), np.uint64).reshape(-1, BITMAP_WORDS)
+        label, out = np.arange(len(rows)), []
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, np.searchsorted(n, n[i] * t.den // t.num, "right"))
+            j = _near(n, bits, i, j[label[j] != label[i]], t)
+            apart, which = np.unique(label[j], return_index=True)
+            for x, k in zip(apart.tolist(), which.tolist()):
+                out.append((int(names[i]), int(names[j[k]])))
+            label[np.isin(label, apart)] = label[i]
+        return out
+
+    within = _per_block(dealt, ["n", "node", "bits"], n_tasks, solve, "a bigint, b bigint")
+    return pairs.mapInArrow(fitting, "a bigint, b bigint").unionByName(within)
 
 
 def bitmap(elements: np.ndarray) -> np.ndarray:
@@ -286,7 +367,7 @@ def _per_block(blocks: DataFrame, columns: list[str], n_tasks: int, solve, schem
             yield packed(out)
         yield packed(solve(rows))
 
-    return blocks.repartition(n_tasks, *keys).sortWithinPartitions(*keys).select(*keys, *columns).mapInArrow(run, schema)
+    return blocks.repartition(min(n_tasks, MOST_TASKS), *keys).sortWithinPartitions(*keys).select(*keys, *columns).mapInArrow(run, schema)
 
 
 def _block_links(blocks: DataFrame, n_tasks: int, t: Threshold) -> DataFrame:
@@ -396,17 +477,22 @@ def similar_groups(docs: DataFrame, width: int = 5, num: int = 8, den: int = 10)
     nothing (class and component null).  Repeated rows are copies, and link with each other.  Ties don't matter.  Empty table: no rows.  Other columns
     are ignored.
     """
-    t = Threshold(num, den)
+    with own_tables(docs.sparkSession) as keep:
+        return keep(_similar_groups(docs, width, Threshold(num, den)))
+
+
+def _similar_groups(docs: DataFrame, width: int, t: Threshold) -> DataFrame:
+    num, den = t.num, t.den
     bounded_batches(docs.sparkSession)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0))).first()[0]
     n_buckets = max(8, -(-size // BUCKET_TEXT))
     passed = saved(signed(docs, width, t, n_buckets))
     sets = passed.filter("kind = 0").select("doc_id", "n", "h1", "h2", F.col("blob").alias("bits"))
-    edges = passed.filter("kind = 2").select(F.col("h1").alias("a"), F.col("h2").alias("b")).unionByName(bucket_edges(passed.filter("kind = 1"), n_buckets))
-    candidates = components(edges).withColumnRenamed("component", "cand")
-
     classes = saved(sets.filter("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")))
     low = F.col("h1").bitwiseAND(F.lit(int(LOW48)))
+    met = saved(meetings(passed.filter("kind = 1"), n_buckets).unionByName(_held_apart(passed.filter("kind = 3"))))
+    candidates = components(candidate_edges(met, classes.select(low.alias("node"), "n", "bits"), n_buckets, t)).withColumnRenamed("component", "cand")
+
     members = classes.withColumn("low", low).join(candidates, F.col("low") == F.col("node")).select("cand", "doc_id", "h1", "h2", "n", "bits", "copies")
     band = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
     whole = members.groupBy("cand").agg(F.count("*").alias("all"), F.sum("n").alias("all_n")).filter("all > 1")

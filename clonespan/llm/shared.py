@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +35,42 @@ def scratch(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
 
 
+#: Paths written by the innermost `own_tables` that is open in this thread.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back: lost executors cost no recomputation, and Spark knows its size."""
     path = scratch(df.sparkSession)
+    if (written := _WRITTEN.get()) is not None:
+        written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def own_tables(spark: SparkSession):
+    """Tables that are `saved` in this block are removed at its end, but for those written by the function that it gives."""
+    outer, mine, kept = _WRITTEN.get(), [], []
+    token = _WRITTEN.set(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        out = saved(df)
+        kept.append(mine.pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        _WRITTEN.reset(token)
+        if outer is not None:
+            outer += kept
+        jvm = spark.sparkContext._jvm
+        for name in mine:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """`df` less its own columns of these names (in any case): the operator's result columns win."""
     taken = {n.lower() for n in names}
