@@ -73,11 +73,16 @@ def full_metrics(df: DataFrame, keys: list[str], score: str = "p", label: str =
 
 def threshold_table(df: DataFrame, keys: list[str], score: str = "p", label: str = "y", extra: list[float] | None = None) -> DataFrame:
     """Counts and rates when everything at or above each distinct score is called positive."""
+    return _threshold_rows(df, keys, score, label, extra).drop("observed")
+
+
+def _threshold_rows(df: DataFrame, keys: list[str], score: str, label: str, extra: list[float] | None) -> DataFrame:
+    """The threshold table, and whether the threshold is a score of the data (`observed`)."""
     blocks = score_blocks(df, keys, score, label, extra)
     totals = blocks.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     t = attach_totals(blocks, totals, keys)
     counted = t.select(
-        *keys, "threshold", F.col("tp").alias("TP"), F.col("fp").alias("FP"), (F.col("_p") - F.col("tp")).alias("FN"), (F.col("_n") - F.col("fp")).alias("TN")
+        *keys, "threshold", ((F.col("pos") + F.col("neg")) > 0).alias("observed"), F.col("tp").alias("TP"), F.col("fp").alias("FP"), (F.col("_p") - F.col("tp")).alias("FN"), (F.col("_n") - F.col("fp")).alias("TN")
     )
     r = rates(F.col("TP"), F.col("FP"), F.col("FN"), F.col("TN"))
     fpr = F.when((F.col("FP") + F.col("TN")) > 0, F.col("FP") / (F.col("FP") + F.col("TN")))
@@ -96,41 +101,62 @@ def _closeness() -> Column:
     return F.abs(F.col("threshold") - 0.5)
 
 
+def _youden_order() -> tuple[Column, Column]:
+    """Largest tpr - fpr; ties go to the threshold closest to 0.5, then the larger."""
+    j = F.col("sensitivity_recall") - F.col("fpr")
+    return j.isNotNull(), F.struct(-j, _closeness(), -F.col("threshold"))
+
+
+def _f1_order() -> Column:
+    return F.struct(-F.col("f1"), -F.coalesce("specificity", F.lit(-1.0)), _closeness(), F.col("threshold"))
+
+
+def _target_order(target: float) -> tuple[Column, Column]:
+    order = F.struct(-F.coalesce("specificity", F.lit(-1.0)), -F.col("precision"), _closeness(), F.col("threshold"))
+    return F.col("sensitivity_recall") + F.lit(1e-12) >= target, order
+
+
+def _best(value: str | Column, ok: Column, order: Column) -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    return F.min_by(F.when(ok, value), F.when(ok, order))
+
+
 def youden(table: DataFrame, keys: list[str]) -> DataFrame:
     """Threshold of the largest tpr - fpr; ties go to the one closest to 0.5, then the larger; 0.5 when undefined."""
-    j = F.col("sensitivity_recall") - F.col("fpr")
-    order = F.struct(-j, _closeness(), -F.col("threshold"))
-    best = F.min_by(F.when(j.isNotNull(), F.col("threshold")), F.when(j.isNotNull(), order))
-    return table.groupBy(*keys).agg(F.coalesce(best, F.lit(0.5)).alias("threshold"))
+    return table.groupBy(*keys).agg(F.coalesce(_best("threshold", *_youden_order()), F.lit(0.5)).alias("threshold"))
 
 
 def max_f1(table: DataFrame, keys: list[str]) -> DataFrame:
     """Threshold of the largest F1; ties: higher specificity, then closeness to 0.5, then the smaller."""
-    order = F.struct(-F.col("f1"), -F.coalesce("specificity", F.lit(-1.0)), _closeness(), F.col("threshold"))
-    return table.groupBy(*keys).agg(F.min_by("threshold", order).alias("threshold"))
+    return table.groupBy(*keys).agg(F.min_by("threshold", _f1_order()).alias("threshold"))
 
 
 def sensitivity_target(table: DataFrame, keys: list[str], target: float = 0.80) -> DataFrame:
     """Among thresholds reaching the target sensitivity: highest specificity, precision, closeness to 0.5; 0 when none does."""
-    order = F.struct(-F.coalesce("specificity", F.lit(-1.0)), -F.col("precision"), _closeness(), F.col("threshold"))
-    ok = F.col("sensitivity_recall") + F.lit(1e-12) >= target
-    best = F.min_by(F.when(ok, F.col("threshold")), F.when(ok, order))
-    return table.groupBy(*keys).agg(F.coalesce(best, F.lit(0.0)).alias("threshold"))
+    return table.groupBy(*keys).agg(F.coalesce(_best("threshold", *_target_order(target)), F.lit(0.0)).alias("threshold"))
 
 
 CANDIDATE_CUTS = [0.0, 0.5, 1.0]
 
 
 def threshold_rules(df: DataFrame, keys: list[str], score: str = "p", label: str = "y", target: float = 0.80) -> DataFrame:
-    """The three rules side by side with the metrics at each chosen threshold."""
-    own = threshold_table(df, keys, score, label)
-    table = threshold_table(df, keys, score, label, CANDIDATE_CUTS)
-    chosen = (
-        youden(own, keys).withColumn("rule", F.lit("youden"))
-        .unionByName(max_f1(table, keys).withColumn("rule", F.lit("max_f1")))
-        .unionByName(sensitivity_target(table, keys, target).withColumn("rule", F.lit("sensitivity_target")))
+    """The three rules side by side with the metrics at each chosen threshold.
+
+    One aggregate over one threshold table: each rule takes a whole row of it.  Youden's rule looks at scores of the data only.
+    """
+    table = _threshold_rows(df, keys, score, label, CANDIDATE_CUTS)
+    row = F.struct(*[c for c in table.columns if c not in (*keys, "observed")])
+    fixed = lambda cut: F.max(F.when(F.col("threshold") == cut, row))
+    defined, order = _youden_order()
+    rules = table.groupBy(*keys).agg(
+        F.coalesce(_best(row, defined & F.col("observed"), order), fixed(0.5)).alias("youden"),
+        F.min_by(row, _f1_order()).alias("max_f1"),
+        F.coalesce(_best(row, *_target_order(target)), fixed(0.0)).alias("sensitivity_target"),
     )
-    return chosen.join(table, [*keys, "threshold"])
+    names = ("youden", "max_f1", "sensitivity_target")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("row")) for n in names]))
+    chosen = rules.select(*keys, each.alias("_chosen")).filter("_chosen.row is not null")
+    return chosen.select(*keys, "_chosen.row.threshold", "_chosen.rule", *[f"_chosen.row.{c}" for c in table.columns if c not in (*keys, "threshold", "observed")])
 
 
 def score_class_report(metrics: DataFrame) -> DataFrame:
