@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import bounded_batches, text_of, without
+from .shared import bounded_batches, text_of
 
 #: Words of an item that make a window, and the words that one automaton holds at most (more items: more automata in a row).
 WINDOW, AUTOMATON_WORDS = 10, 500_000
@@ -216,21 +217,22 @@ def scan(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_i
                 names += ["text", "rejected"]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *columns], names=[*kept, *names])
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_text"]
-    schema += ["n_words bigint, n_hit bigint, longest_match bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"]
-    schema += ["text binary, rejected boolean"] if clean else []
-    out = source.mapInArrow(run, ", ".join(schema))
+    results = "n_words bigint, n_hit bigint, longest_match bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
+    results += ", text binary, rejected boolean" if clean else ""
+    schema = T.StructType([*[f for f in source.schema if f.name != "_text"], *T.StructType.fromDDL(results)])
+    out = source.mapInArrow(run, schema)
     return out.withColumn("text", F.col("text").cast("string")) if clean else out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """`docs` without the documents that are mostly test items, and without the hit spans of the others; n_chars follows.
 
-    Untouched documents keep their text, null included.  Same columns as `docs`.
+    Untouched documents keep their text, null included.  Same columns as `docs`; all but text and n_chars keep their values,
+    also those that are called like a result of `scan`.
     """
-    rows = without(docs, "_null").withColumn("_null", F.col("text").isNull())
-    out = scan(rows, benchmark, carry=tuple(rows.columns), clean=True, **limits).filter("not rejected")
-    out = out.withColumn("text", F.when(~F.col("_null"), F.col("text")))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), "text")
+    out = scan(rows, benchmark, carry=("_row",), clean=True, **limits).filter("not rejected")
+    new = {"text": F.when(F.col("_row")["text"].isNotNull(), F.col("text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_hit") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(F.col("n_hit") > 0, F.length("text")).otherwise(F.col("_row")["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -192,8 +192,9 @@ class LineIndex:
         return LineIndex(refs, counts, saved(filters.filter("n_buckets > 0").unionByName(again)), self.n_shards, self.min_docs)
 
     def insert(self, docs: DataFrame) -> "LineIndex":
-        """The index with `docs` (ids that it doesn't hold yet) added."""
-        new = saved(self._refs_of(docs))
+        """The index with `docs` added.  Documents of ids that it holds already are left out: `delete` these first."""
+        held = self.refs.select("doc_id").distinct()
+        new = saved(self._refs_of(docs).join(held, "doc_id", "left_anti").select("shard", "k1", "k2", "doc_id"))
         merged = self.counts.unionByName(_counted(new)).groupBy("shard", "k1", "k2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
         return self._moved(saved(merged), self.refs.unionByName(new))
 

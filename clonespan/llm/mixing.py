@@ -88,6 +88,7 @@ def mixing_plan(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int =
     plan = targets.join(edges.withColumnRenamed("source", "s"), targets["source"].eqNullSafe(F.col("s")), "left").drop("s")
     nearer = (F.col("before") + F.col("at") - rest) < (rest - F.col("before"))
     edge = F.when(nearer, F.col("edge") + 1).otherwise(F.col("edge"))
+    edge = F.when(rest > 0, edge).otherwise(0)  # nothing is left to fill: empty documents aren't taken once more either
     return rows, saved(plan.select(F.col("source").alias("s"), "source_size", "target", "times", edge.alias("edge")))
 
 
@@ -113,7 +114,11 @@ def mix(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of `docs`, all its columns, as often as `mix` says.  Texts are not shuffled: the plan has a row per source."""
+    """The mix itself: every row of `docs`, all its columns, as often as `mix` says.  Texts are not shuffled: the plan has a row per source.
+
+    Null and empty texts have size 0 and are taken as often as their source asks for, 3 times at most; null sources, null ids,
+    repeated rows and the empty table are treated as in `mix`.  Columns of any name keep their values.
+    """
     _, plan = mixing_plan(docs, **options)
     plan = plan.select(F.col("s").alias("_s"), "times", "edge")
     names = docs.columns

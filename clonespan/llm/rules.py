@@ -48,15 +48,19 @@ def _covered(positions: Column, width: int) -> Column:
 
     return F.aggregate(F.transform(positions, step), F.lit(0), lambda a, x: a + x)
 
+#: Columns that `measure` makes on the way.
+HELPERS = ("_words", "_windows", "_again", "_text", "_lines")
+
 
 def measure(docs: DataFrame) -> DataFrame:
     """`docs` with the MEASURES of its text.
 
     Words stand between ASCII white space.  n_repeat_words counts the words inside 3-word windows that occur at least twice in
     the text, the first occurrence included: the windows' hashes are sorted with their places, and equal neighbours give the
-    places that count.  Work per document is that of one sort.
+    places that count.  Work per document is that of one sort.  Columns of `docs` with the name of a measure, or of one of the
+    HELPERS, give way; all others stay.
     """
-    rows = without(docs, *MEASURES, "_words", "_windows", "_again", "_text", "_lines")
+    rows = without(docs, *MEASURES, *HELPERS)
     rows = _once(rows, "_words", words_of(text_of()))
     places = F.when(F.size("_words") >= 3, F.sequence(F.lit(0), F.size("_words") - 3)).otherwise(F.array().cast("array<int>"))
     window = F.transform(places, lambda i: F.struct(F.xxhash64(*[F.get("_words", i + k) for k in range(3)]).alias("h"), i.alias("i")))
@@ -70,7 +74,7 @@ def measure(docs: DataFrame) -> DataFrame:
     rows = _once(rows, "_lines", F.filter(lines, lambda s: F.length(F.btrim(s, F.lit(" \t\n\x0b\x0c\r"))) > 0))
     joined = F.array_join("_words", "")
     return rows.select(
-        *[F.col(f"`{c}`") for c in rows.columns if not c.startswith("_")],
+        *[F.col(f"`{c}`") for c in rows.columns if c not in HELPERS],
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(joined).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace(text_of(), r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),

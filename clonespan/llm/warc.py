@@ -108,6 +108,8 @@ def parse(stream, name: str = "archive") -> Iterator[tuple[dict[str, str], bytes
                 raise ValueError(f"{name}: cut off within a header")
             key, _, value = line.decode("utf-8", "replace").partition(":")
             headers[key.strip().lower()] = value.strip()
+        if not headers.get("content-length", "").isdecimal():
+            raise ValueError(f"{name}: {headers.get('warc-record-id')} has no length")
         length = int(headers["content-length"])
         block = stream.read(length)
         if len(block) != length:
