@@ -106,24 +106,25 @@ def _(v):
     return rep(v)
 
 
-BOOT_SQL = """
+MEAN_REPS = 5000
+BOOT_SQL = f"""
 select x.*, b.ci_lower, b.ci_upper from (select model, metric, count(*) as n_repeats, avg(value) as mean, stddev_samp(value) as sd, quantile_cont(value, 0.5) as median, quantile_cont(value, 0.25) as q1,
     quantile_cont(value, 0.75) as q3, min(value) as min, max(value) as max from rep_long group by 1, 2) x
 join (select model, metric, quantile_cont(m, 0.025) as ci_lower, quantile_cont(m, 0.975) as ci_upper from (
     select d.model, d.metric, d.rep, avg(r.value) as m from (select model, metric, rep, cast('0x' || substr(md5('1|' || rep || '|' || draw), 1, 12) as bigint) % 20 as pos
-        from (select distinct model, metric from rep_long) g, range(1, 201) t(rep), range(0, 20) u(draw)) d
+        from (select distinct model, metric from rep_long) g, range(1, {MEAN_REPS + 1}) t(rep), range(0, 20) u(draw)) d
     join (select *, row_number() over (partition by model, metric order by outer_repeat) - 1 as pos from rep_long) r on r.model = d.model and r.metric = d.metric and r.pos = d.pos group by 1, 2, 3) e group by 1, 2) b
   on x.model = b.model and x.metric = b.metric"""
 
 
 @query("eva13_performance_summary", "model metric n_repeats:i mean:8 sd:8 median:8 q1:8 q3:8 min:8 max:8 ci_lower:8 ci_upper:8", BOOT_SQL)
 def _(v):
-    return K.performance_summary(long(v), ["model", "metric"], 200)
+    return K.performance_summary(long(v), ["model", "metric"], MEAN_REPS)
 
 
 @query("spl17_bootstrap_mean", "model metric ci_lower:8 ci_upper:8", BOOT_SQL)
 def _(v):
-    return K.bootstrap_mean(long(v), ["model", "metric"], "outer_repeat", 200)
+    return K.bootstrap_mean(long(v), ["model", "metric"], "outer_repeat", MEAN_REPS)
 
 
 @query("join9_model_pairs", "metric outer_repeat model_a model_b difference:8", "select * from paired")

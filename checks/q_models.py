@@ -78,9 +78,15 @@ def _(v):
     return O.static_predictors(manifest(v)).join(known.groupBy("feature_name").agg(F.count("value").alias("n")), "feature_name")
 
 
-@query("mod21_ordered_predictors", "feature_name position:i")
+_core_order = ", ".join(f"('{c}', {i})" for i, c in enumerate(CORE, 1))
+
+
+@query("mod21_ordered_predictors", "feature_name position:i n:i", f"""
+    select g.feature_name, row_number() over (order by o.i) as position, n from ({GROUP_SQL}) g join (values {_core_order}) o(feature_name, i) on g.feature_name = o.feature_name
+    where feature_role = 'candidate_predictor' and n > 0""")
 def _(v):
-    return O.static_predictors(manifest(v)).select("feature_name", F.col("feature_order").alias("position"))
+    core = X.core_table(v.clones, summary(v), KEY)
+    return O.ordered_predictors(manifest(v), D.missing_profile(core).select(F.col("column_name").alias("feature_name"), F.col("non_null").alias("n")))
 
 
 @query("mod3_schema_equality", "same:b rows:i", "select true as same, count(*) as rows from matrix")

@@ -127,6 +127,15 @@ def static_predictors(manifest_: DataFrame, base: str = "train_base", prefix: st
     return manifest_.filter(ok).select("feature_name", "feature_order")
 
 
+def ordered_predictors(manifest_: DataFrame, known: DataFrame, base: str = "train_base", prefix: str = "tcr_") -> DataFrame:
+    """The predictors a task uses, by position: static predictors that have a value in the training rows.
+
+    `known` holds (feature_name, n), n being the rows with a value.  The window has a row per feature.
+    """
+    used = static_predictors(manifest_, base, prefix).join(known.filter("n > 0"), "feature_name")
+    return used.withColumn("position", F.row_number().over(Window.orderBy("feature_order"))).drop("feature_order")
+
+
 def same_schema(train: DataFrame, test: DataFrame) -> bool:
     return train.columns == test.columns
 

@@ -22,7 +22,7 @@ def disallowed_values(df: DataFrame, column: str, allowed: list[str]) -> DataFra
 
 
 def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Per column: nulls, NaN and infinite values, from one pass."""
+    """Per column: nulls, values that are not null, NaN and infinite values, from one pass."""
     types = dict(df.dtypes)
     names = columns or df.columns
 
@@ -32,8 +32,9 @@ def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     aggs = []
     for c in names:
         x = F.col(f"`{c}`")
-        aggs += [count_if(x.isNull()).alias(f"n_{c}"), numbers(c, F.isnan(x)).alias(f"a_{c}"), numbers(c, F.abs(x) == F.lit(float("inf"))).alias(f"i_{c}")]
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col(f"`n_{c}`").alias("nulls"), F.col(f"`a_{c}`").alias("nan"), F.col(f"`i_{c}`").alias("infinite")) for c in names]
+        aggs += [count_if(x.isNull()).alias(f"n_{c}"), F.count(x).alias(f"c_{c}"), numbers(c, F.isnan(x)).alias(f"a_{c}"), numbers(c, F.abs(x) == F.lit(float("inf"))).alias(f"i_{c}")]
+    kinds = {"nulls": "n", "non_null": "c", "nan": "a", "infinite": "i"}
+    rows = [F.struct(F.lit(c).alias("column_name"), *[F.col(f"`{k}_{c}`").alias(name) for name, k in kinds.items()]) for c in names]
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
