@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clonespan.operators import comparison as K
@@ -40,17 +43,20 @@ def _(v):
     return J.checked_left_join(base, descriptive(v), KEY)
 
 
+META = ["sample_id", "cohort", "batch", "material", "sex", "patient", "age"]
+DESC = [f"{p}_{m}" for p in P.descriptive_prefixes().values() for m in P.MEASURES]
+ONLY_TEST = [n for n in P.reference_feature_names() if n not in DESC]
+MAN_FLAGS = [f"present_in_{n}" for n in ("train_base", "train_descriptive", "test_final", "test_base", "test_descriptive")]
+
+
 def manifest(v):
+    """Of column names and types only: the views' clone tables and metadata have sample keys of their own."""
     base = v.samples.join(X.core_table(v.clones, summary(v), KEY), "sample_id")
     desc = v.samples.select("sample_id").join(descriptive(v), "sample_id")
-    return O.manifest({"train_base": base, "test_base": base, "train_descriptive": desc})
-
-
-@query("mod2_feature_manifest", "feature_name feature_order:i data_type feature_group feature_role model_default transformation present_in_train_base:b present_in_train_descriptive:b eligible_for_fixed_train_cv_input:b missing:i")
-def _(v):
-    core = X.core_table(v.clones, summary(v), KEY)
-    profile = D.missing_profile(core).select(F.col("column_name").alias("feature_name"), F.col("nulls").alias("missing"))
-    return manifest(v).join(profile, "feature_name", "left").fillna(0, ["missing"])
+    final = base.join(P.external_features(v.inc, reference(v)), "sample_id")
+    tables = {"train_base": base, "train_descriptive": desc, "test_final": final, "test_base": base, "test_descriptive": desc}
+    sources = {"train_base": "sample_features", "train_descriptive": "descriptive_public_features", "test_final": "reference_public_features"}
+    return O.manifest(tables, sources, META)
 
 
 _is_wt = "feature_name like 'weighted\\_%' escape '\\'"
@@ -63,6 +69,43 @@ select feature_name, feature_group, case when feature_group = 'tcr_qc_depth' the
   from (select u.feature_name, s.n from (values {", ".join(f"('{c}')" for c in CORE)}) u(feature_name), (select count(distinct sample_id) as n from clones) s) f) g"""
 
 
+def _missing(table: str, names: list[str]) -> str:
+    return " union all ".join(f"select '{c}' as feature_name, count(*) - count(\"{c}\") as missing from {table}" for c in names)
+
+
+_listed = ", ".join(f"('{c}', {i}, '{src}')" for i, (c, src) in enumerate(
+    [(c, "metadata") for c in META] + [(c, "sample_features") for c in CORE] + [(c, "descriptive_public_features") for c in DESC] + [(c, "reference_public_features") for c in ONLY_TEST], 1))
+
+
+@query("mod2_feature_manifest", "feature_name feature_order:i source_file data_type feature_group feature_role model_default transformation " + " ".join(f"{f}:b" for f in MAN_FLAGS)
+       + " eligible_for_fixed_train_cv_input:b dynamic_in_training:b reference_drop:b notes missing:i", f"""
+    with described as (select d.* from descriptive d join samples s on d.sample_id = s.sample_id),
+      lost as ({_missing("samples", META)} union all {_missing("described", DESC)} union all select feature_name, (select count(distinct sample_id) from clones) - n from ({GROUP_SQL}) g),
+      grouped as (select l.*, case feature_name when 'sample_id' then 'identifier' when 'cohort' then 'outcome' when 'patient' then 'identifier_trace' when 'age' then 'clinical' when 'sex' then 'clinical' when 'material' then 'clinical_optional'
+          when 'batch' then 'technical_qc' else coalesce(feature_group, case when contains(feature_name, 'public_aa_') or contains(feature_name, 'shared_aa_') then 'public_descriptive' else 'public_reference_dynamic' end) end as grp,
+          case when source_file = 'metadata' then case when feature_name in ('sample_id', 'patient', 'age') then 'integer' else 'categorical' end
+            when starts_with(feature_name, 'total_reads') or (feature_name not like 'log1p%' and regexp_matches(feature_name, 'clone_number(_all)?$')) then 'integer' else 'numeric' end as data_type
+        from (select v.*, g.feature_group, g.feature_role from (values {_listed}) v(feature_name, feature_order, source_file) left join ({GROUP_SQL}) g on g.feature_name = v.feature_name) l),
+      roles as (select *, case feature_name when 'sample_id' then 'join_key' when 'cohort' then 'outcome_label' when 'patient' then 'trace_only' when 'age' then 'primary_predictor' when 'sex' then 'primary_predictor' when 'material' then 'optional_predictor'
+          when 'batch' then 'qc_only' else coalesce(feature_role, case grp when 'public_descriptive' then 'descriptive_only' else 'dynamic_predictor_train_fixed_predictor_test' end) end as r from grouped)
+    select r.feature_name, feature_order, source_file, data_type, grp as feature_group, r as feature_role, source_file in ('metadata', 'sample_features') as present_in_train_base, source_file in ('metadata', 'sample_features') as present_in_test_base,
+      r.feature_name in ('sample_id', 'aa_clone_number') or source_file = 'descriptive_public_features' as present_in_train_descriptive,
+      r.feature_name in ('sample_id', 'aa_clone_number') or source_file = 'descriptive_public_features' as present_in_test_descriptive,
+      source_file in ('metadata', 'sample_features', 'reference_public_features') or r.feature_name in ({", ".join(f"'{n}'" for n in P.reference_feature_names())}) as present_in_test_final,
+      case r when 'primary_predictor' then 'yes' when 'candidate_predictor' then 'yes' when 'optional_predictor' then 'optional' when 'qc_or_sensitivity_predictor' then 'sensitivity'
+        when 'dynamic_predictor_train_fixed_predictor_test' then 'dynamic' else 'no' end as model_default,
+      case when r = 'outcome_label' then 'binary encode in model pipeline' when r in ('trace_only') then 'exclude from predictors' when r = 'qc_only' then 'exclude from primary model' when r = 'composition_reference_drop' then 'drop before model fitting'
+        when r.feature_name in ('sex', 'material') then 'one-hot encode in model pipeline' when r in ('join_key', 'descriptive_only') then 'none' else 'standardize within each training fold' end as transformation,
+      source_file in ('metadata', 'sample_features') and r not in ('join_key', 'outcome_label', 'trace_only', 'qc_only', 'descriptive_only', 'composition_reference_drop') as eligible_for_fixed_train_cv_input,
+      grp = 'public_reference_dynamic' as dynamic_in_training, r = 'composition_reference_drop' as reference_drop, case when grp = 'public_reference_dynamic' then '{O.DYNAMIC_NOTE}' else '' end as notes, missing
+    from roles r left join lost m on m.feature_name = r.feature_name""")
+def _(v):
+    desc = v.samples.select("sample_id").join(descriptive(v), "sample_id").select(*DESC)
+    parts = [v.samples.select(*META), X.core_table(v.clones, summary(v), KEY).select(*CORE), desc]
+    profile = reduce(DataFrame.unionByName, [D.missing_profile(t) for t in parts])
+    return manifest(v).join(profile.select(F.col("column_name").alias("feature_name"), F.col("nulls").alias("missing")), "feature_name", "left")
+
+
 @query("scl19_feature_classes", "feature_name feature_group feature_role n:i", GROUP_SQL)
 def _(v):
     core = X.core_table(v.clones, summary(v), KEY)

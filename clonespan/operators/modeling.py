@@ -103,22 +103,32 @@ def simple_type(dtype: str) -> str:
     return "numeric" if dtype in ("double", "float") or dtype.startswith("decimal") else "categorical"
 
 
-def manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """One row per column over all matrices, in order of first appearance, with presence flags.
+#: What the manifest says of features that a training table may hold only for description.
+DYNAMIC_NOTE = "Counts its own sample in training; make it anew from the training part of every fold."
 
-    Only column names and types are read, no data.
+
+def manifest(tables: dict[str, DataFrame], sources: dict[str, str] | None = None, metadata: Iterable[str] = ()) -> DataFrame:
+    """One row per column over all matrices, in order of first appearance, with source, presence flags and preparation.
+
+    `source_file` is 'metadata' for the columns of the first table that `metadata` names, else what `sources` says of the first
+    table that holds the column (its name by default).  Only column names and types are read, no data.
     """
     spark = next(iter(tables.values())).sparkSession
-    seen: dict[str, str] = {}
-    for t in tables.values():
+    first, known = next(iter(tables)), set(metadata)
+    seen: dict[str, tuple[str, str]] = {}
+    for n, t in tables.items():
         for c, d in t.dtypes:
-            seen.setdefault(c, simple_type(d))
-    rows = [(c, i, d, *[c in t.columns for t in tables.values()]) for i, (c, d) in enumerate(seen.items(), 1)]
+            origin = "metadata" if n == first and c in known else (sources or {}).get(n, n)
+            seen.setdefault(c, (simple_type(d), origin))
+    rows = [(c, i, d, o, *[c in t.columns for t in tables.values()]) for i, (c, (d, o)) in enumerate(seen.items(), 1)]
     flags = ", ".join(f"present_in_{n} boolean" for n in tables)
-    base = classify_features(spark.createDataFrame(rows, f"feature_name string, feature_order int, data_type string, {flags}"))
-    first = next(iter(tables))
+    base = classify_features(spark.createDataFrame(rows, f"feature_name string, feature_order int, data_type string, source_file string, {flags}"))
     eligible = F.col(f"present_in_{first}") & ~F.col("feature_role").isin(EXCLUDED_ROLES)
-    return base.withColumns({"eligible_for_fixed_train_cv_input": eligible, "dynamic_in_training": F.col("feature_group") == "public_reference_dynamic"})
+    dynamic = F.col("feature_group") == "public_reference_dynamic"
+    return base.withColumns({
+        "eligible_for_fixed_train_cv_input": eligible, "dynamic_in_training": dynamic, "reference_drop": F.col("feature_role") == "composition_reference_drop",
+        "notes": F.when(dynamic, DYNAMIC_NOTE).otherwise(""),
+    })
 
 
 def static_predictors(manifest_: DataFrame, base: str = "train_base", prefix: str = "tcr_") -> DataFrame:
