@@ -160,3 +160,17 @@ def test_manifest_roles(spark):
     got = {r.feature_name: (r.feature_role, r.model_default) for r in O.manifest({"train_base": t}).collect()}
     assert got["Y_frequency"] == ("composition_reference_drop", "no") and got["Shannon"] == ("candidate_predictor", "yes")
     assert got["aa_clone_number"] == ("qc_or_sensitivity_predictor", "sensitivity") and got["all_ref_public_clone_ratio"][1] == "dynamic"
+
+
+def test_manifest_sources_notes_and_ordered_predictors(spark):
+    base = spark.createDataFrame([(1, "A", 0.5, None, 0.1)], "sample_id int, cohort string, Gini double, Shannon double, Y_frequency double")
+    desc = spark.createDataFrame([(1, 0.2)], "sample_id int, A_specific_ref_frequency_sum double")
+    m = O.manifest({"train_base": base, "train_descriptive": desc}, {"train_base": "features"}, ["sample_id", "cohort"])
+    got = {r.feature_name: (r.source_file, r.reference_drop, r.notes != "", r.present_in_train_descriptive) for r in m.collect()}
+    assert got == {
+        "sample_id": ("metadata", False, False, True), "cohort": ("metadata", False, False, False), "Gini": ("features", False, False, False),
+        "Shannon": ("features", False, False, False), "Y_frequency": ("features", True, False, False),
+        "A_specific_ref_frequency_sum": ("train_descriptive", False, True, True),
+    }
+    known = spark.createDataFrame([("Gini", 1), ("Shannon", 0), ("Y_frequency", 1)], "feature_name string, n int")
+    assert [(r.feature_name, r.position) for r in O.ordered_predictors(m, known).collect()] == [("Gini", 1)]
