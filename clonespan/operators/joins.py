@@ -43,11 +43,14 @@ def id_set_difference(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
 
 
 def with_dynamic_features(static: DataFrame, dynamic: DataFrame, key: list[str]) -> DataFrame:
-    """Features that change with the task next to the features that don't: one row per row of `dynamic` that has a static partner."""
+    """Features that change with the task next to the features that don't: one row per row of `dynamic` that has a static partner.
+
+    `dynamic` is often exploded from a small table, by whose size Spark would broadcast it; the hint keeps it from the driver.
+    """
     clash = sorted((set(static.columns) & set(dynamic.columns)) - set(key))
     if clash:
         raise ValueError(f"columns on both sides: {clash}")
-    return dynamic.join(static, key)
+    return dynamic.hint("shuffle_merge").join(static, key)
 
 
 def key_difference(a: DataFrame, b: DataFrame, key: str, other: str | None = None) -> DataFrame:
