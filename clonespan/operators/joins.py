@@ -142,13 +142,16 @@ def lengthen(df: DataFrame, ids: list[str], columns: list[str], name: str = "var
 
 
 def match_counts(predicted: DataFrame, assigned: DataFrame, key: list[str]) -> DataFrame:
-    """Predictions against the frozen assignment: matched, missing and unexpected keys."""
-    p = predicted.select(*key).distinct().withColumn("_p", F.lit(True))
-    a = assigned.select(*key).distinct().withColumn("_a", F.lit(True))
-    j = p.join(a, key, "full_outer")
-    return j.agg(
-        count_if(F.col("_p").isNotNull() & F.col("_a").isNotNull()).alias("matched"),
-        count_if(F.col("_p").isNull()).alias("missing"), count_if(F.col("_a").isNull()).alias("unexpected"),
+    """Predictions against the frozen assignment: matched, missing and unexpected keys; a key with a null matches nothing.
+
+    Both tables meet in one aggregation, which needs no shuffle when they are dealt by a key column already.
+    """
+    p = predicted.select(*key, F.lit(True).alias("_p"), F.lit(False).alias("_a"))
+    a = assigned.select(*key, F.lit(False).alias("_p"), F.lit(True).alias("_a"))
+    seen = p.unionByName(a).groupBy(*key).agg(F.max("_p").alias("_p"), F.max("_a").alias("_a"))
+    both = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in key], F.col("_p") & F.col("_a"))
+    return seen.agg(
+        count_if(both).alias("matched"), count_if(F.col("_a") & ~both).alias("missing"), count_if(F.col("_p") & ~both).alias("unexpected"),
     )
 
 
