@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import saved, text_of, without
+from .shared import saved, scratch, text_of, without
 
 #: Bytes and records that a bucket holds on average.
 BUCKET_BYTES, BUCKET_ROWS = 16 << 20, 20_000
@@ -41,13 +41,14 @@ def external_shuffle(rows: DataFrame, n_shards: int, size: str, seed: int = 20_2
     shard or slot are replaced.
     """
     rows = without(rows, "shard", "slot")
-    placed = saved(scattered(rows, seed, bucket_bytes, bucket_rows, size))
+    placed = saved(scattered(rows, seed, bucket_bytes, bucket_rows, size), compression="zstd")
     in_order = W.partitionBy().orderBy("bucket")
     counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
     offsets = saved(
         counts.select("bucket", (F.sum("n").over(in_order) - F.col("n")).alias("offset"), F.sum("n").over(W.partitionBy()).alias("total"))
     )
-    gathered = placed.groupBy("bucket").agg(F.collect_list("row").alias("rows"), F.collect_list("place").alias("places"))
+    # whole buckets in ranges: tasks follow each other in the random order
+    gathered = placed.repartitionByRange("bucket").groupBy("bucket").agg(F.collect_list("row").alias("rows"), F.collect_list("place").alias("places"))
     # in order of place: rows need not have an order (maps have none), and texts are not compared
     order = F.sort_array(F.transform("places", lambda p, i: F.struct(p.alias("place"), i.alias("i"))))
     gathered = gathered.select("bucket", F.transform(order, lambda o: F.get("rows", o["i"])).alias("rows"))
@@ -64,23 +65,23 @@ def external_shuffle(rows: DataFrame, n_shards: int, size: str, seed: int = 20_2
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 40, **options) -> DataFrame:
-    """Whole documents in shards below `path` (a folder shard=<n> each, in slot order); returns what was written.
+    """Whole documents in shards below `path` (a folder shard=<n> each, files in slot order); returns what was written.
 
     Null and empty texts, null ids and repeated rows are written like others.  A column called _size is left out, those called
-    shard or slot are replaced.  Empty table: fails on reading back, as no file is there.
+    shard or slot are replaced.  Empty table: no shard is written, no rows come back.
     """
     sized = without(docs, "_size").withColumn("_size", text_size())
     placed = external_shuffle(sized, n_shards, "_size", **options).drop("_size")
-    by_range = placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    by_range.write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    placed.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, **options) -> DataFrame:
     """Per document: doc_id, size (UTF-8 bytes + 16), text_crc32, law (`rows`), shard, slot, grown_shard (null under this law).
 
-    Only these narrow rows are shuffled.  Null text: size 16, crc of the empty text.
+    The documents are written to shards in the shared folder; what comes back is measured on the texts found there.  Null
+    text: size 16, crc of the empty text.
     """
-    narrow = docs.select("doc_id", text_size().alias("size"), F.crc32(text_of().cast("binary")).cast("bigint").alias("text_crc32"), F.lit(40).cast("bigint").alias("_bytes"))
-    placed = external_shuffle(narrow, n_shards, "_bytes", **options)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    written = write_shards(docs, scratch(docs.sparkSession), n_shards, **options)
+    crc = F.crc32(text_of().cast("binary")).cast("bigint").alias("text_crc32")
+    return written.select("doc_id", text_size().alias("size"), crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -39,12 +39,12 @@ def scratch(spark: SparkSession) -> str:
 _WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read back: lost executors cost no recomputation, and Spark knows its size."""
+def saved(df: DataFrame, **options: str) -> DataFrame:
+    """`df` written to the shared folder (with the writer's `options`) and read back: lost executors cost no recomputation, and Spark knows its size."""
     path = scratch(df.sparkSession)
     if (written := _WRITTEN.get()) is not None:
         written.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
