@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import count_if, hash_integer, order_hash
+from ..session import materialize, spread
 from .joins import pairs_of
 from .metrics import confusion, ranking_from_blocks, ranking_metrics, rates
 from .ranking import positions, running_totals, unit_level
@@ -194,9 +195,9 @@ def stratified_bootstrap(
     before anything else, so the work is reps x rows and no label is held by one task.
     """
     hashed = scored.select(sample, score, label, order_hash(F.lit(seed), *(hash_cols or [sample])).alias("_h"))
-    placed = positions(hashed, [label], "_h", sample)
+    placed = materialize(positions(hashed, [label], "_h", sample).select(label, "position", score))
     sizes = placed.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    draws = placed.select(label, F.col("position").alias("draw")).join(sizes, label).select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
+    draws = spread(placed.select(label, F.col("position").alias("draw")), "draw", reps).join(sizes, label).select("*", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep"))
     text = F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col(label).cast("string"), F.col("draw").cast("string"))
     picks = draws.select("rep", label, (hash_integer(text) % F.col("_n")).alias("position"))
     drawn = picks.groupBy("rep", label, "position").agg(F.count(F.lit(1)).alias("times")).join(placed.select(label, "position", score), [label, "position"])
