@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import count_if, hash_integer, joint_key, order_hash, stratum_train_size
-from ..session import materialize
+from ..session import materialize, spread
 from .ranking import attach_totals, positions
 
 # Distributions of the imbalance score with their weights, and the penalties for categories the test set misses.
@@ -31,7 +31,7 @@ def stratified_split(
 ) -> DataFrame:
     """(seed, row) table with `split`: the first n_train rows of each shuffled stratum train."""
     sizes = meta.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    sized = meta.join(sizes, strata).select("*", F.explode(F.sequence(F.lit(seeds.start), F.lit(seeds.stop - 1))).alias("seed"))
+    sized = spread(meta, id_col, len(seeds)).join(sizes, strata).select("*", F.explode(F.sequence(F.lit(seeds.start), F.lit(seeds.stop - 1))).alias("seed"))
     shuffled = positions(sized.withColumn("_h", order_hash("seed", id_col)), ["seed", *strata], "_h", id_col)
     coin = hash_integer(F.concat_ws("|", F.col("seed").cast("string"), F.lit("single"), F.col(id_col).cast("string")), 1, 8) / F.lit(float(16**8))
     single = {"train": F.lit(True), "test": F.lit(False)}.get(singleton, coin < ratio)
@@ -136,7 +136,7 @@ def deal(rows: DataFrame, keys: list[str], k: int, seed: int, label: str, id_col
     offsets = sizes.select(*keys, label, "candidate", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     hashed = rows.withColumn("_h", order_hash(F.lit(seed), *keys, "candidate", id_col))
     placed = positions(hashed, [*keys, "candidate", label], "_h", id_col)
-    dealt = placed.join(offsets, [*keys, label, "candidate"])
+    dealt = placed.join(F.broadcast(offsets), [*keys, label, "candidate"])  # a row per label and candidate; the rows must not be broadcast
     return dealt.withColumn("fold", ((F.col("position") + F.col("_offset")) % k + 1).cast("int")).drop("_h", "_offset", "position")
 
 
@@ -209,6 +209,7 @@ def outer_schedule(
     Scores and fingerprints (repeats x candidates rows) decide on the driver; only the chosen candidates are dealt again.
     """
     keys = ["outer_repeat"]
+    rows = spread(rows, id_col, repeats * candidates)
     wide = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("outer_repeat"))
     scored = fold_scores(fold_candidates(wide, keys, k, candidates, seed, label, id_col), [*keys, "candidate"], k, label=label, id_col=id_col)
     ranked = scored.select("outer_repeat", F.round("score", 9).alias("s"), "candidate", "sig_a", "sig_b").collect()
@@ -234,6 +235,7 @@ def inner_schedule(
 ) -> DataFrame:
     """Inner folds on the outer-training rows of every (repeat, fold)."""
     keys = ["outer_repeat", "task_fold"]
+    outer = spread(outer, id_col, k * candidates)
     training = outer_tasks(outer, k).filter("role = 'training'").drop("role", "outer_fold")
     pool = fold_candidates(training, keys, k, candidates, seed, label, id_col)
     chosen = best_distinct(pool, keys, k).select(*keys, "candidate")
