@@ -404,7 +404,8 @@ def coefficient_table(coefficients: DataFrame, preprocessing: DataFrame, tol: fl
 def selected_predictions(preds: DataFrame, best: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
     """Out-of-fold predictions of the winning parameters, with the chosen threshold attached."""
     on = [*keys, "l1_ratio_alpha", "lambda"]
-    mine = preds.join(best.select(*on), on, "left_semi").join(thresholds, keys)
+    # one row per key on the right; the predictions, exploded from a small table, look smaller to Spark than they are
+    mine = preds.join(F.broadcast(best.select(*on)), on, "left_semi").join(F.broadcast(thresholds), keys)
     return mine.withColumn("predicted_label", (F.col("p") >= F.col("threshold")).cast("int"))
 
 
