@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import bounded_batches, components, own_tables, saved, text_of
 from .tokens import Words, bloom_has, bloom_of, mix, pieces, ranges_hash
 
-#: Growth of the size bands; levels of slices; text bytes that one bucket of tiles is sized for; sets and elements of a block; words of a bitmap; most tasks of a shuffle;
+#: Growth of the size bands; levels of slices; text bytes that one bucket of tiles is sized for; sets and elements of a block; least words of a bitmap; most tasks of a shuffle;
 #: most nodes of a tile whose pairs are listed.
 BAND_GROWTH, LEVELS, BUCKET_TEXT, BLOCK_SETS, BLOCK_ELEMENTS, BITMAP_WORDS, MOST_TASKS, CROWD = 1.4, 4, 20 << 20, 2_000, 2_000_000, 16, 20_000, 16
 LOW48 = np.uint64((1 << 48) - 1)
@@ -246,13 +246,10 @@ def candidate_edges(met: DataFrame, classes: DataFrame, n_tasks: int, t: Thresho
     pairs = met.filter("not crowded").select("a", "b").distinct().join(one, "a").join(two, "b")
     pairs = pairs.filter((F.least("n1", "n2") * t.den >= F.greatest("n1", "n2") * t.num)).select("a", "b", "n1", "n2", "bits1", "bits2")
 
-    def words(column):
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
-
     def fitting(batches):
         for b in batches:
             total = b.column("n1").to_numpy() + b.column("n2").to_numpy()
-            near = np.bitwise_count(words(b.column("bits1")) ^ words(b.column("bits2"))).sum(axis=1) <= total - 2 * t.overlap(total)
+            near = differing(b.column("bits1").to_pylist(), b.column("bits2").to_pylist()) <= total - 2 * t.overlap(total)
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(near))
 
     crowd = saved(met.filter("crowded").select(F.col("a").alias("tile"), F.col("b").alias("node")).distinct())
@@ -267,7 +264,7 @@ def candidate_edges(met: DataFrame, classes: DataFrame, n_tasks: int, t: Thresho
             return []
         rows = sorted(rows)
         names, n = np.array([x[1] for x in rows]), np.array([x[0] for x in rows])
-        bits = np.frombuffer(b"".join(x[2] for x in rows), np.uint64).reshape(-1, BITMAP_WORDS)
+        bits = Bitmaps([x[2] for x in rows])
         label, out = np.arange(len(rows)), []
         for i in range(len(rows) - 1):
             j = np.arange(i + 1, np.searchsorted(n, n[i] * t.den // t.num, "right"))
@@ -283,11 +280,60 @@ def candidate_edges(met: DataFrame, classes: DataFrame, n_tasks: int, t: Thresho
 
 
 def bitmap(elements: np.ndarray) -> np.ndarray:
-    """Parity bitmap: differing bits of two bitmaps never outnumber the differing elements of the sets."""
-    counts = np.bincount((elements & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS)
+    """Parity bitmap: differing bits of two bitmaps never outnumber the differing elements of the sets.
+
+    It has a bit per element at least: in fewer bits any two large sets would differ by less than similar ones may.
+    """
+    bits = 64 * BITMAP_WORDS
+    while bits < len(elements):
+        bits *= 2
+    counts = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(bool)).view(np.uint64)
 
 
+def _folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (a row each) as they are in `words` words, for no more words than they have."""
+    return maps if maps.shape[1] == words else np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
+def _stacked(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps of one width as rows."""
+    return np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1)
+
+
+def differing(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """Differing bits of the bitmaps one[k] and two[k], in the width of the narrower one."""
+    out = np.zeros(len(one), np.int64)
+    widths = np.array([(len(a), len(b)) for a, b in zip(one, two)]).reshape(-1, 2) // 8
+    for u, v in np.unique(widths, axis=0).tolist():
+        at = np.flatnonzero((widths == (u, v)).all(axis=1))
+        a, b = (_folded(_stacked([maps[k] for k in at]), min(u, v)) for maps in (one, two))
+        out[at] = np.bitwise_count(a ^ b).sum(axis=1)
+    return out
+
+
+class Bitmaps:
+    """The bitmaps of some sets; two are compared in the width of the narrower one."""
+
+    def __init__(self, maps: list[bytes]):
+        self.width, self.row, self.maps = np.array([len(x) // 8 for x in maps]), np.zeros(len(maps), np.int64), {}
+        for words in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == words)
+            self.row[own] = np.arange(len(own))
+            self.maps[words] = _stacked([maps[k] for k in own])
+
+    def differ(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Differing bits of set i and each of the sets j."""
+        width, out = int(self.width[i]), np.zeros(len(j), np.int64)
+        mine = self.maps[width][self.row[i] : self.row[i] + 1]
+        for words, maps in self.maps.items():
+            at = np.flatnonzero(self.width[j] == words)
+            if len(at):
+                least = min(words, width)
+                out[at] = np.bitwise_count(_folded(maps[self.row[j[at]]], least) ^ _folded(mine, least)).sum(axis=1)
+        return out
+
+
 def _elements(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(doc_id, h1, h2, elements) of the documents in `wanted` (doc_id, h1, h2): sorted hashes as bytes.
 
@@ -319,7 +365,7 @@ def linked(names: list, copies: list[int], sets: list[np.ndarray], t: Threshold,
     order = np.argsort(n, kind="stable")
     n, sets, names, copies = n[order], [sets[i] for i in order], [names[i] for i in order], np.array(copies, np.int64)[order]
     side = None if side is None else np.array(side)[order]
-    maps = np.stack([bitmap(s) for s in sets])
+    maps = Bitmaps([bitmap(s).tobytes() for s in sets])
     code = np.unique(np.concatenate(sets), return_inverse=True)[1]
     first = np.concatenate(([0], np.cumsum(n)))
     mark, label, partners = np.zeros(len(code), np.int32), np.arange(len(sets)), np.zeros(len(sets), np.int64)
@@ -380,11 +426,11 @@ def _block_links(blocks: DataFrame, n_tasks: int, t: Threshold) -> DataFrame:
     return _per_block(blocks, ["node", "copies", "elements"], n_tasks, solve, "a string, b string, n bigint")
 
 
-def _near(n: np.ndarray, bits: np.ndarray, i: int, j: np.ndarray, t: Threshold) -> np.ndarray:
+def _near(n: np.ndarray, bits: Bitmaps, i: int, j: np.ndarray, t: Threshold) -> np.ndarray:
     """Those of the sets j whose size and bitmap allow enough overlap with set i."""
     j = j[np.minimum(n[j], n[i]) * t.den >= np.maximum(n[j], n[i]) * t.num]
     total = n[j] + n[i]
-    return j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1) <= total - 2 * t.overlap(total)]
+    return j[bits.differ(i, j) <= total - 2 * t.overlap(total)]
 
 
 def _facing(light: DataFrame) -> DataFrame:
@@ -421,13 +467,13 @@ def _partnered(light: DataFrame, n_tasks: int, t: Threshold) -> DataFrame:
         if len(rows) < 2:
             return []
         names, n, bits = zip(*rows)
-        return marks(names, np.array(n), np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITMAP_WORDS), np.ones(len(n), bool))
+        return marks(names, np.array(n), Bitmaps(bits), np.ones(len(n), bool))
 
     here = saved(_per_block(light, ["node", "n", "bits"], n_tasks, within, "node string"))
     big = light.filter("not single").join(here.withColumn("todo", F.lit(False)), "node", "left").withColumn("todo", F.coalesce("todo", F.lit(True)))
 
     def across(key, rows):
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, BITMAP_WORDS)
+        bits = Bitmaps(rows["bits"].tolist())
         got = marks(rows["node"].tolist(), rows["n"].to_numpy(), bits, rows["todo"].to_numpy().astype(bool))
         return pd.DataFrame({"node": pd.Series([x[0] for x in got], dtype=str)})
 
@@ -445,7 +491,7 @@ def _cross_links(members: DataFrame, t: Threshold) -> DataFrame:
 
     def screen(key, rows):
         n, side = rows["n"].to_numpy(), rows["side"].to_numpy()
-        bits = np.frombuffer(b"".join(rows["bits"]), np.uint64).reshape(-1, BITMAP_WORDS)
+        bits = Bitmaps(rows["bits"].tolist())
         found, right = np.zeros(len(n), bool), np.flatnonzero(side == 1)
         for i in np.flatnonzero(side == 0):
             j = _near(n, bits, i, right, t)

@@ -27,6 +27,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     keep = F.lit(False)
     for value, n in totals.items():
         keep = keep | ((F.col("label") == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, 1.3 * per_class / n) * 1_000_000)))
-    joined = known.filter(keep).join(rows, "doc_id")
+    # bounded by per_class, so the texts stay where they are
+    joined = F.broadcast(known.filter(keep)).join(rows, "doc_id")
     parts = [joined.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for value in (0, 1)]
     return parts[0].unionByName(parts[1]), totals
