@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .shared import bounded_batches, saved, text_of
 
 #: Neighbours; examples per block; blocks scored at first; bytes of the word beginnings that count as terms; most examples of a class.
 NEIGHBOURS, BLOCK, FIRST_BLOCKS, BEGINNINGS, EXAMPLES_PER_CLASS = 25, 64, 8, (5, 7), 6_000
+#: Tasks that the examples are dealt to.
+SAMPLE_TASKS = 24
 #: Weight of the prior in a vote; documents of label 1 with a term that weighs more, for one of label 0, at least.
 PRIOR_WEIGHT, PURITY = 0.5, 3.0
 
@@ -130,28 +133,40 @@ class Index:
     def build(cls, terms: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, bytes]], prior: float, weight: dict[int, float], block: int = BLOCK) -> "Index":
         none = np.zeros(0, np.int64)
         self = cls(terms, idf, none, none, none, none, np.zeros(len(terms), np.int64), none, block, prior, np.array([weight[0], weight[1]]))
-        self.prepare()
-        vectors = [(doc_id, label, *self.counts(text)) for doc_id, label, text in examples]
-        vectors = [v for v in vectors if v[4]]
+        vectors = []
+        for doc_id, label, text in examples:
+            found, count, norm = self.counts(text)
+            if norm:
+                vectors.append((doc_id, label, found.astype(np.int32), count.astype(np.int32), norm))
         # neighbours in the order share their heaviest term, which makes the bounds tight
         vectors.sort(key=lambda v: (int(v[2][((1 + np.log(v[3])) * idf[v[2]]).argmax()]), v[0]))
         self.ids, self.labels = np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], float)
         self.norm = np.array([v[4] for v in vectors], float)
         term = np.concatenate([none, *[v[2] for v in vectors]])
-        example = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors]).astype(np.int64)
-        order = np.lexsort((example, term))
+        term = term.astype(np.int32)
+        example = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(v[2]) for v in vectors])
+        order = np.argsort(term, kind="stable")
         narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
         self.example, self.count = narrow(example[order]), narrow(np.concatenate([none, *[v[3] for v in vectors]])[order])
         self.df = narrow(np.bincount(term, minlength=len(terms)))
-        self.prepare()
         return self
 
+    @cached_property
+    def lookup(self) -> dict[bytes, int]:
+        return {t: i for i, t in enumerate(self.terms)}
+
+    @cached_property
+    def at_weight(self) -> np.ndarray:
+        """Weights of the postings.  They are made where examples are looked up, which the driver does not do."""
+        out = 1 + np.log(self.count.astype(float))
+        out *= np.repeat(self.idf, self.df)
+        out /= self.norm[self.example]
+        return out
+
     def prepare(self) -> None:
-        """What follows from the fields: weights of the postings, runs of postings of one term and block with their largest weight."""
-        self.lookup = {t: i for i, t in enumerate(self.terms)}
-        term = np.repeat(np.arange(len(self.df)), self.df)
-        self.at_weight = (1 + np.log(self.count.astype(float))) * self.idf[term] / self.norm[self.example]
-        of = (self.example // self.block).astype(np.int64)
+        """What follows from the fields: runs of postings of one term and block with their largest weight."""
+        term = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)
+        of = (self.example // self.block).astype(np.int32)
         starts = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (of[1:] != of[:-1])))) if len(term) else np.zeros(0, np.int64)
         self.first, self.run_block = np.concatenate((starts, [len(term)])), of[starts].astype(np.int32)
         self.most = np.maximum.reduceat(self.at_weight, starts) if len(starts) else np.zeros(0)
@@ -163,7 +178,6 @@ class Index:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state | {"terms": state["terms"].split()})
-        self.prepare()
 
     def counts(self, text: bytes) -> tuple[np.ndarray, np.ndarray, float]:
         """(terms, counts) of a text, and the length of its vector before it is 1."""
@@ -183,6 +197,8 @@ class Index:
         found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
         if not len(terms) or not len(self.example):
             return found, cosines
+        if "run" not in self.__dict__:
+            self.prepare()
         runs, weight = ranges(self.run[terms], self.run[terms + 1]), np.repeat(weights, self.run[terms + 1] - self.run[terms])
         block = self.run_block[runs]
         bounds = np.bincount(block, weight * self.most[runs])
@@ -216,17 +232,10 @@ class Index:
         share = (w @ self.labels[found] + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT)
         return math.log(share / (1 - share))
 
-    def calibrate(self, texts: list[tuple[int, bytes]]) -> None:
-        """Platt scaling of the votes of the examples, each without itself; classes weigh as they do among all labelled rows."""
-        where = {d: i for i, d in enumerate(self.ids.tolist())}
-        x, y = [], []
-        for doc_id, text in texts:
-            if (i := where.get(doc_id)) is not None:
-                x.append(self.vote(*self.nearest(*self.vector(text), skip=i)))
-                y.append(self.labels[i])
-        if not x or min(y) == max(y):
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Platt scaling of the votes x of examples with labels y; classes weigh as they do among all labelled rows."""
+        if not len(x) or min(y) == max(y):
             return
-        x, y = np.array(x), np.array(y)
         w = self.weight[y.astype(int)]
         a, b = 1.0, 0.0
         for _ in range(50):
@@ -246,23 +255,43 @@ class Index:
         return 1 / (1 + math.exp(-(self.slope * self.vote(found, cosines) + self.offset))), found, cosines
 
 
+def left_out_votes(sample: DataFrame, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(votes, labels) of the examples in `sample`, each without itself, in order of their ids; looked up by the tasks."""
+    held = sample.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        x = held.value
+        where = {d: i for i, d in enumerate(x.ids.tolist())}
+        for b in batches:
+            out = []
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                if (i := where.get(doc_id)) is not None:
+                    out.append((doc_id, x.vote(*x.nearest(*x.vector(text), skip=i)), float(x.labels[i])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "vote", "label"])
+
+    rows = sample.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, vote double, label double").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("vote", "ascending")])
+    return rows["vote"].to_numpy(), rows["label"].to_numpy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = EXAMPLES_PER_CLASS) -> Index:
     """An index over a bounded sample of the labelled rows whose fold (crc32 of the id mod 5) is not 0.
 
-    The sample has at most `per_class` rows of each class, whole texts; document frequencies come from all documents.
+    The sample has at most `per_class` rows of each class, whole texts; document frequencies come from all documents.  The
+    driver keeps the postings in narrow types; votes of the examples are found by tasks.
     """
     bounded_batches(docs.sparkSession)
     sample, totals = training_sample(docs, labels, "toxic", fold(5) != 0, per_class)
-    sample = saved(sample)
-    rows = sorted(sample.collect(), key=lambda r: r["doc_id"])
-    examples = [(r["doc_id"], int(r["label"]), bytes(r["text"])) for r in rows]
-    n = Counter(label for _, label, _ in examples)
+    sample = saved(sample.repartition(SAMPLE_TASKS))
+    n = Counter({r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()})
     weight = {k: totals.get(k, 0) / n[k] if n[k] else 0.0 for k in (0, 1)}
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
     terms, factor = vocabulary(sample, n[1], n[0], weight)
     df, n_docs = document_frequencies(docs, terms)
+    rows = sample.toArrow().sort_by("doc_id")
+    examples = list(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), rows["text"].to_pylist()))
     index = Index.build(terms, np.log((1 + n_docs) / (1 + df)) * factor, examples, prior, weight)
-    index.calibrate([(d, text) for d, _, text in examples])
+    index.calibrate(*left_out_votes(sample, index))
     # texts without any term: the share of label 1 among such examples
     held = set(index.ids.tolist())
     bare = Counter(label for d, label, _ in examples if d not in held)

@@ -1,8 +1,8 @@
-"""What the third check found: growth of the Jaccard join."""
+"""What the third check found: growth of the Jaccard join, the driver's share of the toxicity fit."""
 
 import numpy as np
 
-from clonespan.llm import jaccard
+from clonespan.llm import jaccard, toxicity
 
 
 def edges(spark, sets, crowded=False):
@@ -39,3 +39,17 @@ def test_bitmaps_never_differ_in_more_bits_than_the_sets_in_elements():
         found = held.differ(i, np.arange(len(sets)))
         assert (found <= most).all() and found[i] == 0
         assert (found == jaccard.differing([maps[i]] * len(sets), maps)).all()
+
+
+def test_driver_neither_looks_up_neighbours_nor_holds_weights_of_postings(spark, monkeypatch):
+    def refuse(*args, **kwargs):
+        raise AssertionError("looked up on the driver")
+
+    monkeypatch.setattr(toxicity.Index, "nearest", refuse)
+    monkeypatch.setattr(toxicity.Index, "prepare", refuse)
+    rows = [(i, f"plain{i % 30} common words" + " bad" * (i % 4 == 0) + " worse" * (i % 8 == 0)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    index = toxicity.fit(docs, labels)
+    assert index.slope != 1.0 and index.offset != 0.0 and len(index.example) and not {"at_weight", "run"} & set(vars(index))
+    assert all((x["predicted"] == 1) == (x["doc_id"] % 4 == 0) for x in toxicity.score(docs, index).collect())
